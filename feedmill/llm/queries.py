@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near_dup
+from . import batch_dedup, near_dup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each arrival of news_batches that repeats an earlier row (same hash, or three-word overlap of at least 0.5)."""
+    names = (F.col("content_original").alias("text"), F.col("content_hash").alias("hash"))
+    history = _read(spark, sf_dir, "news_items").select("id", *names)
+    arrivals = _read(spark, sf_dir, "news_batches").select("id", *names, F.col("batch_no").alias("batch"))
+    found = batch_dedup.repeats(history, arrivals, words=3, threshold=0.5)
+    return found.select(F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of news items of at least 20 words whose three-word overlap is at least 0.5."""
     pairs, copies = near_dup.near_duplicates(_read(spark, sf_dir, "news_items"), "id", "content_original", words=3, threshold=0.5, min_words=20)
@@ -27,6 +36,7 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p6_found": p6_found,
         "p6_groups": p6_groups,
     }

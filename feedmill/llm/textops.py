@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterable
 
@@ -91,6 +92,12 @@ def bit_sketch(mins: np.ndarray) -> np.ndarray:
     return np.packbits(full, axis=1).view(np.int64).reshape(len(mins), 2)
 
 
+def least_agreement(threshold: float, sigmas: float = 3.0) -> int:
+    """How many of 128 sketch bits two sets whose overlap is ``threshold`` have in common, less ``sigmas`` deviations."""
+    agree = (1 + threshold) / 2
+    return math.floor(128 * agree - sigmas * math.sqrt(128 * agree * (1 - agree)))
+
+
 def combine(parts: Iterable[np.ndarray], salt: int) -> np.ndarray:
     """Hash columns of integers into one signed 64-bit key column."""
     key = None
