@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import batch_dedup, near_dup
+from . import batch_dedup, encode, mixing, near_dup, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,41 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_groups(pairs, copies)
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and ids of each document by byte_bpe_50k."""
+    return encode.encode(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture by mix_targets, a row for each time one is taken."""
+    return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source of mix_targets."""
+    return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics of each document."""
+    return quality.statistics(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that aren't natural prose, with their kind."""
+    return p9_stats(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p6_found": p6_found,
         "p6_groups": p6_groups,
+        "p7_ids": p7_ids,
+        "p8_mix": p8_mix,
+        "p8_shares": p8_shares,
+        "p9_found": p9_found,
+        "p9_stats": p9_stats,
     }
 
 
