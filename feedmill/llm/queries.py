@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import batch_dedup, encode, mixing, near_dup, quality
+from . import batch_dedup, encode, mixing, near_dup, quality, site_lines, truncation
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
 
 
+TEXT_FIELDS = ["content_original", "summary_ar", "summary_en"]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of content_original and the summaries that were cut before their end."""
+    found = truncation.truncated(_read(spark, sf_dir, "news_items"), "id", "source_name", TEXT_FIELDS)
+    return found.select(F.col("id").cast("int").alias("id"), "field")
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source_name truncates each field."""
+    return truncation.rates(_read(spark, sf_dir, "news_items"), "id", "source_name", TEXT_FIELDS)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of content_original that their source repeats in at least 5 and at least 10 % of its rows."""
+    found = site_lines.repeated_lines(_read(spark, sf_dir, "news_items"), "id", "source_name", "content_original")
+    return found.select(F.col("id").cast("int").alias("id"), "line_no")
+
+
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each content_original without the lines of its site."""
+    return site_lines.cleaned(_read(spark, sf_dir, "news_items"), "id", "source_name", "content_original")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of news items of at least 20 words whose three-word overlap is at least 0.5."""
     pairs, copies = near_dup.near_duplicates(_read(spark, sf_dir, "news_items"), "id", "content_original", words=3, threshold=0.5, min_words=20)
@@ -62,6 +87,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p3_found": p3_found,
+        "p3_rates": p3_rates,
+        "p4_cleaned": p4_cleaned,
+        "p4_found": p4_found,
         "p6_found": p6_found,
         "p6_groups": p6_groups,
         "p7_ids": p7_ids,
