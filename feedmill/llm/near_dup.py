@@ -38,7 +38,7 @@ def groups_for(threshold: float, miss: float = 0.02) -> int:
 
 def _sketch(df: DataFrame, words: int, min_words: int, groups: int) -> DataFrame:
     """id, copy (hash of the word sequence), b0, b1 (bit sketch), keys; rows with fewer words or no shingle are left out."""
-    hasher, masks = T.MinHash(7 * groups), covering_masks()
+    hasher, masks = T.MinHash(max(64, 7 * groups)), covering_masks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,9 +88,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
 
 
 def _within(ids: np.ndarray, bits: np.ndarray, pairs: np.ndarray, least: int) -> np.ndarray:
-    """Of index pairs (n, 2) those whose bit sketches agree in at least ``least`` of the bits, as id pairs, smaller first."""
+    """Of index pairs (n, 2) those whose sketches agree in at least ``least`` of 64 values, as id pairs, smaller first."""
     x = bits[pairs[:, 0]] ^ bits[pairs[:, 1]]
-    p = pairs[128 - np.bitwise_count(x).sum(axis=1).astype(np.int64) >= least]
+    p = pairs[64 - np.bitwise_count(x[:, 0] | x[:, 1]).astype(np.int64) >= least]
     a, b = ids[p[:, 0]], ids[p[:, 1]]
     return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
@@ -160,9 +160,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     """
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     groups = groups_for(threshold)
-    bits = min(128, 7 * groups)
-    agree = (1 + threshold) / 2
-    least = 128 - bits + math.floor(bits * agree - 4 * math.sqrt(bits * agree * (1 - agree)))
+    least = T.least_agreement(threshold)
     sketch = written(_sketch(texts, words, min_words, groups), "sketch")
     classes = sketch.groupBy("copy").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = written(sketch.select("copy", "id").join(classes, "copy").where("id <> rep").select("rep", "id").distinct(), "copies")

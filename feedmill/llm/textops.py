@@ -85,17 +85,16 @@ class MinHash:
 
 
 def bit_sketch(mins: np.ndarray) -> np.ndarray:
-    """Two signed 64-bit integers per row, of one mixed bit of each of the first 128 min-wise values (rows, size)."""
-    bits = (mix(mins[:, :128].astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
-    full = np.zeros((len(mins), 128), np.uint8)
-    full[:, : bits.shape[1]] = bits
-    return np.packbits(full, axis=1).view(np.int64).reshape(len(mins), 2)
+    """Two signed 64-bit integers per row (rows, 2): the first and the second of two mixed bits of each of 64 min-wise values."""
+    mixed = mix(mins[:, :64].astype(np.uint64))
+    bits = np.stack([mixed & np.uint64(1), (mixed >> np.uint64(1)) & np.uint64(1)], axis=1).astype(np.uint8)
+    return np.packbits(bits, axis=2).view(np.int64).reshape(len(mins), 2)
 
 
-def least_agreement(threshold: float, sigmas: float = 3.0) -> int:
-    """How many of 128 sketch bits two sets whose overlap is ``threshold`` have in common, less ``sigmas`` deviations."""
-    agree = (1 + threshold) / 2
-    return math.floor(128 * agree - sigmas * math.sqrt(128 * agree * (1 - agree)))
+def least_agreement(threshold: float, sigmas: float = 2.75) -> int:
+    """In how many of the 64 two-bit values two sets with an overlap of ``threshold`` agree, less ``sigmas`` deviations."""
+    agree = threshold + (1 - threshold) / 4
+    return math.floor(64 * agree - sigmas * math.sqrt(64 * agree * (1 - agree)))
 
 
 def combine(parts: Iterable[np.ndarray], salt: int) -> np.ndarray:
