@@ -3,7 +3,7 @@
 Each distinct text has ``tables`` sort keys, each made of ``rows`` min-wise values of its shingles, and its normalised
 content hash is one more key.  Accepted records are kept as runs: tables bucketed and sorted by key in the shared folder, so a
 key's range lies in one bucket of each run.  A batch is sketched once, sorted into the same buckets and merged with
-each run: only the window of records with an equal key is compared, through a 128-bit sketch, and no run is shuffled,
+each run: only the window of records with an equal key is compared, through a sketch of 64 two-bit values, and no run is shuffled,
 sorted or rewritten for it.  The batch then becomes a run of its own; when there are more than ``max_runs``, the small
 ones are compacted into one.  Exact comparison of the shingle sets of the candidates follows.
 """
@@ -32,7 +32,7 @@ def hash_key(content_hash):
 
 
 def _sketch(df: DataFrame, words: int, tables: int, rows: int) -> DataFrame:
-    hasher = T.MinHash(max(128, tables * rows), seed=2)
+    hasher = T.MinHash(max(64, tables * rows), seed=2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +125,11 @@ class HistoryIndex:
         batch = self.spark.table(self.runs[-1][0])
         found = None
         for name, _ in self.runs:
-            old = self.spark.table(name).select("key", "kind", F.col("id").alias("old_id"), F.col("b0").alias("o0"), F.col("b1").alias("o1"))
+            old = self.spark.table(name).select("key", F.col("id").alias("old_id"), F.col("b0").alias("o0"), F.col("b1").alias("o1"))
             new = batch.select("key", "kind", F.col("id").alias("new_id"), "b0", "b1").hint("shuffle_hash")
-            near = (F.col("kind") == 1) | (128 - F.bit_count(F.col("b0").bitwiseXOR(F.col("o0"))) - F.bit_count(F.col("b1").bitwiseXOR(F.col("o1"))) >= self.least)
-            hit = new.join(old, ["key", "kind"]).where((F.col("old_id") < F.col("new_id")) & near).select("new_id", "old_id", "kind")
+            differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("o0")).bitwiseOR(F.col("b1").bitwiseXOR(F.col("o1"))))
+            # joined by the bucketing column alone, so that neither side is shuffled
+            hit = new.join(old, "key").where((F.col("old_id") < F.col("new_id")) & ((F.col("kind") == 1) | (64 - differ >= self.least))).select("new_id", "old_id", "kind")
             found = hit if found is None else found.union(hit)
         found = written(found.distinct(), "window")
         if sum(level == 0 for _, level in self.runs) > self.max_runs:
