@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import batch_dedup, encode, mixing, near_dup, quality, site_lines, truncation
+from . import batch_dedup, encode, language, mixing, near_dup, quality, site_lines, truncation
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
 
 
+def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, confidence and segments of each news item."""
+    return language.identify(_read(spark, sf_dir, "news_items"), "id", "content_original", "source_language")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the news items whose source_language is missing or wrong or that mix languages."""
+    return language.mislabelled(p2_labels(spark, sf_dir)).select(F.col("id").cast("int").alias("id"), "lang")
+
+
 TEXT_FIELDS = ["content_original", "summary_ar", "summary_en"]
 
 
@@ -87,6 +97,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_labels": p2_labels,
         "p3_found": p3_found,
         "p3_rates": p3_rates,
         "p4_cleaned": p4_cleaned,
