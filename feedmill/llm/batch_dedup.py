@@ -22,7 +22,7 @@ from ..scratch import new_path, written
 from . import textops as T
 from .near_dup import verified
 
-SKETCH = "id bigint, tag int, copy bigint, b0 bigint, b1 bigint, keys array<bigint>, hash string"
+SKETCH = "id bigint, tag int, copy bigint, b0 bigint, b1 bigint, keys array<bigint>, mins binary, hash string"
 
 
 def hash_key(content_hash):
@@ -47,16 +47,17 @@ def _sketch(df: DataFrame, words: int, tables: int, rows: int) -> DataFrame:
                 copies.append(T.order_hash(h))
                 mins.append(hasher(T.shingles(h, words)))
             copy, bits, counts = np.zeros(n, np.int64), np.zeros((n, 2), np.int64), np.where(has, tables, 0)
-            keys = np.empty(0, np.int64)
+            keys, low = np.empty(0, np.int64), np.full(n, None, object)
             if mins:
                 m = np.array(mins)
                 copy[has] = np.array(copies, np.uint64).view(np.int64)
                 bits[has] = T.bit_sketch(m)
+                low[has] = [x.tobytes() for x in (T.mix(m.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)]
                 keys = np.stack([T.combine([m[:, t * rows + i] for i in range(rows)], t + 1) for t in range(tables)], axis=1).ravel()
             offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), pa.array(copy, mask=~has), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), batch.column(2)],
-                names=["id", "tag", "copy", "b0", "b1", "keys", "hash"],
+                [batch.column(0), batch.column(3), pa.array(copy, mask=~has), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.array(low, pa.binary()), batch.column(2)],
+                names=["id", "tag", "copy", "b0", "b1", "keys", "mins", "hash"],
             )
 
     return df.mapInArrow(run, SKETCH)
@@ -142,6 +143,21 @@ class HistoryIndex:
         self.runs = []
 
 
+def likely(pairs: DataFrame, sketches: DataFrame, threshold: float, sigmas: float = 3.0) -> DataFrame:
+    """The pairs (id_a, id_b) whose min-wise values, eight bits of each, agree about as often as an overlap of ``threshold`` lets expect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("ma", "mb"))
+                n = x.shape[1]
+                keep = (x == y).sum(axis=1) >= n * threshold - sigmas * math.sqrt(n * threshold * (1 - threshold))
+                yield b.select(["id_a", "id_b"]).filter(pa.array(keep))
+
+    a, b = sketches.select("id", "mins").toDF("id_a", "ma"), sketches.select("id", "mins").toDF("id_b", "mb")
+    return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "ma", "mb").mapInArrow(run, "id_a bigint, id_b bigint")
+
+
 def repeats(history: DataFrame, batches: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id_a, id_b): each row id_b of ``batches`` that repeats an earlier row, with the smallest such id_a.
 
@@ -152,7 +168,8 @@ def repeats(history: DataFrame, batches: DataFrame, words: int = 5, threshold: f
     spark = batches.sparkSession
     index = HistoryIndex(spark, words, threshold)
     new = written(index.sketch(batches.withColumn("tag", F.coalesce(F.col("batch").cast("int"), F.lit(-(2**31))))), "arrivals")
-    index.add(written(index.sketch(history), "history"))
+    past = written(index.sketch(history), "history")
+    index.add(past)
     numbers = sorted(r[0] for r in new.select("tag").distinct().collect())  # one row for each batch
     found = spark.createDataFrame([], "new_id bigint, old_id bigint, kind int")
     for n in numbers:
@@ -162,6 +179,7 @@ def repeats(history: DataFrame, batches: DataFrame, words: int = 5, threshold: f
     texts = history.select("id", "text").union(batches.select("id", "text"))
     texts = texts.where("id is not null").select(F.col("id").cast("bigint").alias("id"), "text")
     pairs = found.where("kind = 0").select(F.col("old_id").alias("id_a"), F.col("new_id").alias("id_b")).distinct()
+    pairs = written(likely(pairs, past.select("id", "mins").union(new.select("id", "mins")), threshold), "likely")
     near = verified(pairs, texts, words, threshold).groupBy("id_b").agg(F.min("id_a").alias("near"))
     same = found.where("kind = 1").groupBy("new_id").agg(F.min("old_id").alias("same"))
 
