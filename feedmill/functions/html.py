@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 # Fixed values of the markup language: elements without an end tag, hidden elements, and those whose end is a line's end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -113,11 +113,14 @@ def text_of(markup: str | None) -> str | None:
     return _collapse(parse(markup).text(ends=True))
 
 
-@F.pandas_udf("string")
-def html_to_text(markup: pd.Series) -> pd.Series:
+def _text_series(markup: pd.Series) -> pd.Series:
     return markup.map(text_of, na_action="ignore")
 
 
+def html_to_text(markup: Column) -> Column:
+    return F.pandas_udf(_text_series, "string")(markup)
+
+
 _SIMPLE = re.compile(r"(?P<tag>\*|[A-Za-z][\w-]*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~|]?=)\s*(?:\"(?P<q>[^\"]*)\"|'(?P<s>[^']*)'|(?P<v>[^\]\s]+))\s*)?\]")
 
 

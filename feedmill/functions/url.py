@@ -81,11 +81,15 @@ def canonicalize(text: str | None) -> str | None:
     return out[:-1] if path != "/" and out.endswith("/") else out
 
 
-@F.pandas_udf("string")
-def _canonical_exact(urls: pd.Series) -> pd.Series:
+def _canonical_series(urls: pd.Series) -> pd.Series:
     return urls.map(canonicalize, na_action="ignore")
 
 
+def _vectorised(f, *columns: Column) -> Column:
+    """Applied where a plan is made, so that importing this module on a worker needs no session."""
+    return F.pandas_udf(f, "string")(*columns)
+
+
 def _canonical_simple(u: Column) -> Column:
     part = lambda p: F.regexp_extract(u, r"^([A-Za-z]+)://([^/:?#]*)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?", p)
     scheme, host, port, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4), part(5)
@@ -107,7 +111,7 @@ def canonical_url(c: Column) -> Column:
     """``canonicalize`` as a column; the Python function sees null in place of the addresses that built-in expressions handle."""
     u = trim(c)
     simple = u.rlike(SIMPLE)
-    return F.when(simple, _canonical_simple(u)).otherwise(_canonical_exact(F.when(~simple, c)))
+    return F.when(simple, _canonical_simple(u)).otherwise(_vectorised(_canonical_series, F.when(~simple, c)))
 
 
 def host_of(c: Column) -> Column:
@@ -154,17 +158,19 @@ def clean_image(raw: str | None, base: str | None) -> str | None:
     return out if out and re.match(r"(?i)https?://", out) else None
 
 
-@F.pandas_udf("string")
-def resolve_url(href: pd.Series, base: pd.Series) -> pd.Series:
+def _resolve_series(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([resolve(h, b) for h, b in zip(href, base)], dtype=object)
 
 
-@F.pandas_udf("string")
-def _image_exact(raw: pd.Series, base: pd.Series) -> pd.Series:
+def resolve_url(href: Column, base: Column) -> Column:
+    return _vectorised(_resolve_series, href, base)
+
+
+def _image_series(raw: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([clean_image(r, b) for r, b in zip(raw, base)], dtype=object)
 
 
 def clean_image_url(raw: Column, base: Column) -> Column:
     """``clean_image`` as a column; absolute plain addresses don't reach Python."""
     plain = trim(raw).rlike(r"^https?://[a-z0-9.-]+/[A-Za-z0-9_~!$&()*+,;=:@/.?-]*$") & ~raw.contains("/.")
-    return F.when(plain, trim(raw)).otherwise(_image_exact(F.when(~F.coalesce(plain, F.lit(False)), raw), base))
+    return F.when(plain, trim(raw)).otherwise(_vectorised(_image_series, F.when(~F.coalesce(plain, F.lit(False)), raw), base))

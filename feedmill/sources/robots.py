@@ -65,8 +65,7 @@ def allowed(text: str | None, path: str | None, agent: str) -> bool:
 def is_allowed(agent: str):
     """A column function (robots text, path with parameters) -> boolean; a null text allows everything."""
 
-    @F.pandas_udf("boolean")
     def decide(text: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([allowed(t, p, agent) for t, p in zip(text, path)])
+        return pd.Series([allowed(t, p, agent) for t, p in zip(text, path)], dtype=bool)
 
-    return decide
+    return lambda text, path: F.pandas_udf(decide, "boolean")(text, path)
