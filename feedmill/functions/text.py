@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # What counts as white space, and the boundary of an ASCII word, in the dialect whose results are kept.
@@ -9,6 +11,11 @@ WHITE = r"[\t\n\x0B\f\r    -     　﻿]"
 ASCII_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
 
@@ -26,11 +33,13 @@ def normalize_title(c: Column) -> Column:
 
 def truncate(c: Column, most: int) -> Column:
     """At most ``most`` characters; cut at the last blank if it lies beyond 60 % of them; an ellipsis marks the cut."""
-    head = F.substring(c, 1, most)
-    back = F.instr(F.reverse(head), " ")
-    blank = F.when(back == 0, F.lit(-1)).otherwise(F.lit(most) - back)  # counted from 0
-    cut = F.when(blank > most * 0.6, F.substring(head, F.lit(1), blank)).otherwise(head)
-    return F.when(F.length(c) <= most, c).otherwise(F.concat(trim(cut), F.lit("…")))
+
+    def cut(x: Column) -> Column:
+        head = F.substring(x, 1, most)
+        blank = F.lit(most) - F.instr(F.reverse(head), " ")  # counted from 0; without one it is ``most``, and too far
+        return F.when(F.length(x) <= most, x).otherwise(bind(blank, lambda n: F.concat(trim(F.when((n > most * 0.6) & (n < most), F.substring(head, F.lit(1), n)).otherwise(head)), F.lit("…"))))
+
+    return bind(c, cut)
 
 
 def detect_language(c: Column) -> Column:
@@ -42,12 +51,10 @@ def source_name(company: Column, product: Column) -> Column:
     return F.when(product.isNull() | (product == ""), company).otherwise(F.concat(company, F.lit(" · "), product))
 
 
-def content_hash(url: Column, title: Column, body: Column) -> Column:
-    """SHA-256 of the canonical address, title and body; nulls count as empty."""
-    from .url import canonical_url
-
+def content_hash(canonical: Column, title: Column, body: Column) -> Column:
+    """SHA-256 of an address in canonical form, the title and the body; nulls count as empty."""
     low = lambda c: F.lower(collapse_whitespace(F.coalesce(c, F.lit(""))))
-    return F.sha2(F.concat_ws("\n", canonical_url(F.coalesce(url, F.lit(""))), low(title), low(body)), 256)
+    return F.sha2(F.concat_ws("\n", F.coalesce(canonical, F.lit("")), low(title), low(body)), 256)
 
 
 def contentless_body(c: Column) -> Column:

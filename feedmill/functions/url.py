@@ -12,7 +12,7 @@ from urllib.parse import parse_qsl, quote, quote_plus, unquote, urljoin, urlspli
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from .text import trim
+from .text import bind, trim
 
 # Parameters that track a visit and never change what an address names.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "mc_cid", "mc_eid", "ref", "ref_src", "source"]
@@ -92,26 +92,29 @@ def _vectorised(f, *columns: Column) -> Column:
 
 def _canonical_simple(u: Column) -> Column:
     part = lambda p: F.regexp_extract(u, r"^([A-Za-z]+)://([^/:?#]*)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?", p)
-    scheme, host, port, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4), part(5)
-    default = F.when(scheme == "https", "443").otherwise("80")
-    number = F.regexp_replace(port, "^0+(?=.)", "")
-    port = F.when((number == "") | (number == default), "").otherwise(F.concat(F.lit(":"), number))
-    path = F.when(path == "", "/").otherwise(path)
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.when(F.instr(x, "=") > 0, x).otherwise(F.concat(x, F.lit("="))))
-    pairs = F.filter(pairs, lambda x: ~F.substring_index(x, "=", 1).isin(TRACKING))
-    pairs = F.transform(pairs, lambda x, i: F.struct(F.substring_index(x, "=", 1).alias("k"), i.alias("i"), x.alias("v")))
-    value = lambda x: F.replace(F.substring(x["v"], F.length(x["k"]) + 2, F.length(x["v"])), F.lit("="), F.lit("%3D"))
-    search = F.array_join(F.transform(F.array_sort(pairs), lambda x: F.concat(x["k"], F.lit("="), value(x))), "&")
-    base = F.concat(scheme, F.lit("://"), host, port, path)
-    out = F.when(search == "", base).otherwise(F.concat(base, F.lit("?"), search))
-    return F.when((path != "/") & out.endswith("/"), F.regexp_replace(out, "/$", "")).otherwise(out)
+    head = F.struct(F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"), F.regexp_replace(part(3), "^0+(?=.)", "").alias("port"), part(4).alias("path"), part(5).alias("query"))
+
+    def search(query: Column) -> Column:
+        """The parameters that are kept, as (name, position, name=value), sorted; put together again."""
+        named = lambda x, i: F.struct(F.substring_index(x, "=", 1).alias("k"), i.alias("i"), x.alias("x"))
+        pairs = F.filter(F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), named), lambda p: ~p["k"].isin(TRACKING))
+        value = lambda p: F.replace(F.substring(p["x"], F.length(p["k"]) + 2, F.length(p["x"])), F.lit("="), F.lit("%3D"))
+        return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["k"], F.lit("="), value(p))), "&")
+
+    def joined(h: Column) -> Column:
+        usual = (h["port"] == "") | ((h["scheme"] == "https") & (h["port"] == "443")) | ((h["scheme"] == "http") & (h["port"] == "80"))
+        base = F.concat(h["scheme"], F.lit("://"), h["host"], F.when(usual, "").otherwise(F.concat(F.lit(":"), h["port"])), F.when(h["path"] == "", "/").otherwise(h["path"]))
+        bare = F.when(h["path"].isin("", "/"), base).otherwise(F.regexp_replace(base, "/$", ""))
+        return bind(search(h["query"]), lambda q: F.when(q == "", bare).otherwise(F.regexp_replace(F.concat(base, F.lit("?"), q), "/$", "")))
+
+    return bind(head, joined)
 
 
 def canonical_url(c: Column) -> Column:
     """``canonicalize`` as a column; the Python function sees null in place of the addresses that built-in expressions handle."""
-    u = trim(c)
-    simple = u.rlike(SIMPLE)
-    return F.when(simple, _canonical_simple(u)).otherwise(_vectorised(_canonical_series, F.when(~simple, c)))
+    simple = trim(c).rlike(SIMPLE)
+    odd = _vectorised(_canonical_series, F.when(~simple, c))
+    return F.coalesce(odd, bind(trim(c), _canonical_simple))
 
 
 def host_of(c: Column) -> Column:

@@ -10,47 +10,53 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import enrich, rules, text, url
-from ..functions.html import html_to_text
+from ..functions.html import text_of
 from ..schema import NEWS_COLUMNS
+from ..scratch import written
 from .timestamps import interpretations
 
 SOURCE_CONTEXT = ["company", "product", "official_domain", "source_type"]
 
 
-def _date_series(values: pd.Series) -> pd.Series:
-    def one(t: str) -> pd.Timestamp | None:
-        found = interpretations(t, None, None, None)
-        return pd.Timestamp(found[0][1]).tz_convert(None) if found else None
+READ = "official_source_url string, body string, published_at timestamp, image_url string"
 
-    return pd.to_datetime(values.map(one, na_action="ignore"))
 
+def _read_texts(entries: DataFrame) -> DataFrame:
+    """Entries with the columns that need a parser, all made in one Arrow pass: canonical address, plain text, date, image."""
 
-def parse_date(text_: Column) -> Column:
-    """The instant of a date text, one without a zone of its own read as UTC; null where there is none."""
-    return F.pandas_udf(_date_series, "timestamp_ntz")(text_).cast("timestamp")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for address, content, date, image in zip(*(b.column(c).to_pylist() for c in ("url", "content", "published_at", "image_url"))):
+                canonical = url.canonicalize(address or "")
+                found = interpretations(date, None, None, None)
+                out.append((canonical, text_of(content or ""), found[0][1] if found else None, url.clean_image(image, canonical)))
+            keep = [c for c in b.schema.names if c not in ("url", "published_at", "image_url")]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *columns], names=[*keep, "official_source_url", "body", "published_at", "image_url"])
+
+    kinds = [pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.string()]
+    kept = [f for f in entries.schema.fields if f.name not in ("url", "published_at", "image_url")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + READ
+    return entries.mapInArrow(run, schema)
 
 
 def normalise(entries: DataFrame, sources: DataFrame) -> DataFrame:
     """Entries (source_id, source_rank, entry_pos, title, url, content, published_at text, image_url) with their source's context and
     the columns of an item: clean title, canonical address, body, language, hash. Entries of unknown sources are left out; null
-    texts count as empty, but the stored content keeps what was fetched ('' for null)."""
+    texts count as empty, but the stored content keeps what was fetched ('' for null). A date without a zone of its own is read as UTC."""
     s = sources.select(F.col("id").alias("source_id"), *SOURCE_CONTEXT)
-    e = entries.join(s, "source_id")
-    e = e.withColumns({"title_original": text.normalize_title(F.coalesce("title", F.lit(""))), "official_source_url": url.canonical_url(F.coalesce("url", F.lit(""))), "content_original": F.coalesce("content", F.lit(""))})
-    e = e.withColumn("body", html_to_text(F.col("content_original")))
-    e = e.withColumns({
+    e = entries.join(s, "source_id").withColumn("title_original", text.normalize_title(F.coalesce("title", F.lit("")))).drop("title")
+    e = _read_texts(e).withColumn("content_original", F.coalesce("content", F.lit(""))).drop("content")
+    return e.withColumns({
         "source_name": text.source_name(F.col("company"), F.col("product")),
         "source_language": text.detect_language(F.concat("title_original", F.lit("\n"), "body")),
-        "published_at": parse_date(F.col("published_at")),
-        "image_url": url.clean_image_url(F.col("image_url"), F.col("official_source_url")),
         "content_hash": text.content_hash(F.col("official_source_url"), F.col("title_original"), F.col("body")),
     })
-    return e.drop("title", "url", "content")
 
 
 def reasons(entries: DataFrame, stored: DataFrame) -> DataFrame:
@@ -138,7 +144,7 @@ def ingest(entries: DataFrame, sources: DataFrame, stored: DataFrame, now: datet
     """One run over read entries; rows of ``entries`` with an ``error`` mark sources that failed and hold no entry."""
     has_error = "error" in entries.columns
     good = entries.where(F.col("error").isNull()).drop("error") if has_error else entries
-    tagged = reasons(normalise(good, sources), stored)
+    tagged = written(reasons(written(normalise(good, sources), "entries"), stored), "tagged")  # read again by the items and the numbers
     done = enriched(tagged.where("reason = 'new'"), complete, cap)
     stamp = F.lit(now).cast("timestamp")
     columns = [stamp.alias(c) if c in ("detected_at", "created_at", "updated_at") else F.col(c) for c in NEWS_COLUMNS if c != "id"]

@@ -228,7 +228,7 @@ NATIVE_SQL = f"""CASE WHEN regexp_matches(content, '[<&]') THEN {_collapse_sql("
 _add("entry_texts", _table("raw_entries", lambda t: t.select("entry_id", text.html_to_text_native(F.col("content")).alias("body"))), f"SELECT entry_id, {NATIVE_SQL} AS body FROM raw_entries")
 _add(
     "content_hashes",
-    _table("raw_entries", lambda t: t.select("entry_id", text.content_hash(F.col("url"), F.col("title"), text.html_to_text_native(F.col("content"))).alias("content_hash"))),
+    _table("raw_entries", lambda t: t.select("entry_id", text.content_hash(url.canonical_url(F.col("url")), F.col("title"), text.html_to_text_native(F.col("content"))).alias("content_hash"))),
     f"SELECT r.entry_id, sha256(c.url || chr(10) || lower({_collapse_sql('r.title')}) || chr(10) || lower({NATIVE_SQL.replace('content', 'r.content')})) AS content_hash FROM raw_entries r JOIN {CANONICAL_SQL} c USING (entry_id)",
 )
 HASHED_SQL = SQL["content_hashes"]
@@ -236,7 +236,7 @@ HASHED_SQL = SQL["content_hashes"]
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _read(spark, sf_dir, "raw_entries")
-    return t.select("entry_id", "fetched_at", text.content_hash(F.col("url"), F.col("title"), text.html_to_text_native(F.col("content"))).alias("content_hash"))
+    return t.select("entry_id", "fetched_at", text.content_hash(url.canonical_url(F.col("url")), F.col("title"), text.html_to_text_native(F.col("content"))).alias("content_hash"))
 
 
 _add(
