@@ -203,10 +203,17 @@ def train(texts: list[tuple[str, str]], steps: int = 600, rows: int = 128, lengt
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, label_col: str, size: int = 3000) -> list[tuple[str, str]]:
-    """At most ``size`` labelled texts, chosen by a hash of the id: the bound of what the network is fitted to."""
+    """At most ``size`` labelled texts, chosen by a hash of the id: the bound of what the network is fitted to.
+
+    The labelled rows are counted first, so that about ``size`` of them, and not as many from each task, come to the driver.
+    """
     known = F.lower(F.trim(label_col)).isin(*CODES) | F.split(F.lower(F.trim(label_col)), "[-_]")[0].isin(*CODES)
-    rows = df.where(known & (F.length(text_col) > 80)).select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).orderBy(F.xxhash64(F.lit(11), id_col)).limit(size)
-    return [(r["text"], code_of(r["label"])) for r in rows.collect()]
+    labelled = df.where(known)
+    share = min(1.0, 0.95 * size / max(1, labelled.count()))
+    at = F.xxhash64(F.lit(11), id_col)
+    rows = labelled.where(F.pmod(at, F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = rows.where(F.length(text_col) > 80).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), at.alias("at"))
+    return [(r["text"], code_of(r["label"])) for r in sorted(rows.collect(), key=lambda r: (r["at"], r["text"]))[:size]]
 
 
 OUT = "id bigint, n_words int, label string, lang string, confidence double, sentence_langs array<string>, segments array<struct<start:int,sentences:int,lang:string,confidence:double>>"
