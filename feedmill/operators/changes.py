@@ -7,6 +7,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..scratch import written
+
 SOURCE_DEFAULTS = {"priority": 100, "crawl_interval_minutes": 60, "active": True}
 SOURCE_FIELDS = ["company", "product", "source_type", "official_domain", "priority", "crawl_interval_minutes", "active", "extra"]
 
@@ -16,16 +18,14 @@ def next_ids(new: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
 
     The rows are numbered within parts of the order and shifted by the sizes of the parts before, so no task holds them all.
     """
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    top = stored.agg(F.max("id")).first()[0] or 0  # one number
     parts = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    from ..scratch import written
-
     parts = written(parts.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     shift = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each part
-    out = parts.join(F.broadcast(shift.select("_part", "_first", "_shift")), "_part").join(F.broadcast(top))
-    number = F.col("top") + F.col("_shift") + F.col("_row") - F.col("_first") + 1
-    return out.withColumn("id", number.cast("int")).drop("_part", "_row", "_first", "_shift", "top")
+    out = parts.join(shift.select("_part", "_first", "_shift"), "_part")
+    number = F.lit(top) + F.col("_shift") + F.col("_row") - F.col("_first") + 1
+    return out.withColumn("id", number.cast("int")).drop("_part", "_row", "_first", "_shift")
 
 
 def upsert_sources(stored: DataFrame, new: DataFrame, now: datetime, keep_active: bool = False) -> DataFrame:

@@ -82,12 +82,11 @@ def within_budget(rows: DataFrame, cap: int) -> DataFrame:
     """
     if cap <= 0:
         return rows.withColumn("in_budget", F.lit(True))
-    order = F.struct("source_rank", "entry_pos")
-    last = rows.select(order.alias("o")).orderBy("o").limit(cap).agg(F.max("o").alias("last"))
-    return rows.join(F.broadcast(last)).withColumn("in_budget", F.coalesce(order <= F.col("last"), F.lit(False))).drop("last")
-
-
-PROMPT = "company string, product string, title string, body string, language string"
+    last = rows.select("source_rank", "entry_pos").orderBy("source_rank", "entry_pos").limit(cap).agg(F.max(F.struct("source_rank", "entry_pos")).alias("last")).first()["last"]
+    if last is None:
+        return rows.withColumn("in_budget", F.lit(True))
+    rank, pos = last
+    return rows.withColumn("in_budget", F.coalesce((F.col("source_rank") < rank) | ((F.col("source_rank") == rank) & (F.col("entry_pos") <= pos)), F.lit(False)))
 
 
 def ask(rows: DataFrame, complete: Callable[[dict], str | None], most: int = 6000) -> DataFrame:

@@ -60,4 +60,5 @@ def health(runs: DataFrame, job_name: str = "ingest") -> DataFrame:
     """healthy, status, last_success: healthy unless the job's latest run failed; last_success among the ten latest runs of any job."""
     last = latest_run(runs, job_name).agg(F.max("status").alias("status"))
     good = recent_runs(runs, 10).where(F.col("status").isin("success", "partial")).agg(F.max("started_at").alias("last_success"))
-    return last.join(good, F.lit(True)).select(F.coalesce(F.col("status") != "failed", F.lit(True)).alias("healthy"), "status", "last_success")
+    both = last.withColumn("last_success", F.lit(None).cast("timestamp")).unionByName(good.withColumn("status", F.lit(None).cast("string")))
+    return both.agg(F.max("status").alias("status"), F.max("last_success").alias("last_success")).select(F.coalesce(F.col("status") != "failed", F.lit(True)).alias("healthy"), "status", "last_success")
