@@ -58,7 +58,7 @@ def site_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, least
     united = written(bitmaps.groupBy("source", "k1", "k2", "bucket").agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap")), "bitmaps")
     held = united.groupBy("source", "k1", "k2").agg(F.sum(F.expr("bitmap_count(bitmap)")).alias("documents"))
     kept = held.join(hopeful, match(held, hopeful)).where(F.col("documents") >= F.col("needed")).select(held.source, held.k1, held.k2)
-    return rows, united.join(kept, match(united, kept), "left_semi")
+    return rows, united.hint("merge").join(kept, match(united, kept), "left_semi")
 
 
 def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, least: int = 5, share: float = 0.1) -> DataFrame:
@@ -68,7 +68,7 @@ def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, l
     Rows with the same id count as one where lines are counted.  Other columns aren't read.
     """
     rows, chunks = site_lines(df, id_col, source_col, text_col, least, share)
-    chunks = chunks.toDF("b_source", "b_k1", "b_k2", "bucket", "bitmap")
+    chunks = chunks.toDF("b_source", "b_k1", "b_k2", "bucket", "bitmap").hint("merge")  # grows with the ids: never broadcast
     hit = rows.withColumn("at", F.expr("bitmap_bit_position(id)")).join(
         chunks, rows.source.eqNullSafe(F.col("b_source")) & (F.col("k1") == F.col("b_k1")) & (F.col("k2") == F.col("b_k2")) & (F.expr("bitmap_bucket_number(id)") == F.col("bucket"))
     )
