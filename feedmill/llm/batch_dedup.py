@@ -166,6 +166,7 @@ def repeats(history: DataFrame, batches: DataFrame, words: int = 5, threshold: f
     ``threshold``.  Two texts of fewer than ``words`` words have no overlap.  An empty batch table gives no rows.
     """
     spark = batches.sparkSession
+    history, batches = history.select("id", "text", "hash"), batches.select("id", "text", "hash", "batch")
     index = HistoryIndex(spark, words, threshold)
     new = written(index.sketch(batches.withColumn("tag", F.coalesce(F.col("batch").cast("int"), F.lit(-(2**31))))), "arrivals")
     past = written(index.sketch(history), "history")

@@ -171,7 +171,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     found = raw.where("id_b is not null")
     if not raw.where("id_b is null").isEmpty():
         found = found.union(_blocks(keys, hot, least))
-    return verified(found.where("id_a < id_b").distinct(), texts, words, threshold), copies
+    pairs = verified(found.where("id_a < id_b").distinct(), texts, words, threshold)
+    return pairs.groupBy("id_a", "id_b").agg(F.max("overlap").alias("overlap")), copies  # one row, even where ids repeat
 
 
 def near_duplicate_groups(pairs: DataFrame, copies: DataFrame, rounds: int = 30) -> DataFrame:

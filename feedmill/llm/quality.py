@@ -141,7 +141,7 @@ def kind_of(s: dict) -> str | None:
         return "junk"
     if s["cell_lines"] >= 0.7 and s["one_separator"] < 0.8 and lines >= 3:
         return "junk"  # a menu
-    if s["mean_word_length"] < 1.9 or (words >= 12 and s["distinct_words"] < 0.12) or (lines >= 5 and s["distinct_lines"] < 0.25):
+    if (s["mean_word_length"] < 1.9 and not (table and s["delimiter"] != "gap")) or (words >= 12 and s["distinct_words"] < 0.12) or (lines >= 5 and s["distinct_lines"] < 0.25):
         return "junk"
     if s["marked_lines"] > 0.5 and s["marked_words"] > 0.4 and lines >= 2:
         return "list"

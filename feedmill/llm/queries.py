@@ -113,5 +113,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+# visible text and its words; the entities are those that a fixed list of replacements resolves
+_VISIBLE = "regexp_replace({}, '(?s)<!--.*?-->|</?[A-Za-z][^<>]*(>|$)', ' ', 'g')"
+_PLAIN = _VISIBLE
+for _entity, _text in (("&#39;", "chr(39)"), ("&quot;", "chr(34)"), ("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', {_text})"
+_WORDS = f"regexp_extract_all(lower({_PLAIN}), '[\\p{{L}}\\p{{N}}]+')"
+_SHINGLES = """w AS (SELECT id, {words} AS ws FROM {table}),
+  s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - 1), lambda i: hash(ws[i], ws[i + 1], ws[i + 2]))) AS h FROM w WHERE len(ws) >= {least}),
+  n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+  c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.id < b.id {only} GROUP BY a.id, b.id),
+  p AS (SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * k >= x.n + y.n - k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    letters = f"regexp_extract_all(lower({_PLAIN.format('line')}), '[\\p{{L}}\\p{{M}}]+')"
+    both = "(SELECT id, content_original, content_hash FROM news_items UNION ALL SELECT id, content_original, content_hash FROM news_batches) t"
+    return {
+        "p1_found": "WITH " + _SHINGLES.format(words=_WORDS.replace("{}", "content_original"), table=both, least=3, only="AND b.id IN (SELECT id FROM news_batches)")
+        + f""", hs AS (SELECT id, lower(regexp_replace(content_hash, '\\s+', '', 'g')) AS h FROM {both} WHERE content_hash IS NOT NULL AND trim(content_hash) <> ''),
+        m AS (SELECT h, min(id) AS id FROM hs GROUP BY h), e AS (SELECT m.id AS id_a, hs.id AS id_b FROM hs JOIN m USING (h) WHERE m.id < hs.id AND hs.id IN (SELECT id FROM news_batches))
+        SELECT CAST(min(id_a) AS INT) AS id_a, id_b FROM (SELECT * FROM p UNION ALL SELECT * FROM e) GROUP BY id_b""",
+        "p4_found": f"""WITH l AS (SELECT id, source_name, unnest(string_split(content_original, chr(10))) AS line, generate_subscripts(string_split(content_original, chr(10)), 1) AS line_no FROM news_items),
+        k AS (SELECT id, source_name, CAST(line_no AS INT) AS line_no, {letters} AS ws FROM l), d AS (SELECT source_name, array_to_string(ws, '') AS k, count(DISTINCT id) AS n FROM k WHERE len(ws) >= 2 GROUP BY ALL),
+        z AS (SELECT source_name, count(*) AS size FROM news_items GROUP BY source_name)
+        SELECT k.id, k.line_no FROM k JOIN d ON d.source_name = k.source_name AND d.k = array_to_string(k.ws, '') JOIN z ON z.source_name = k.source_name WHERE len(k.ws) >= 2 AND d.n >= 5 AND d.n * 10 >= z.size""",
+        "p6_found": "WITH " + _SHINGLES.format(words=_WORDS.replace("{}", "content_original"), table="news_items", least=20, only="")
+        + ", r AS (SELECT min(id) AS id FROM w GROUP BY ws) SELECT id_a, id_b FROM p WHERE id_a IN (SELECT id FROM r) OR id_b IN (SELECT id FROM r)",
+    }
