@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+DIGITS = re.compile(r"\d+")
 WORD = re.compile(r"[^\W\d_]+")
 MARK = re.compile(r"\s*(?:[-*+•◦▪‣→►–—·o]|\[[ xX✓]?\]|[☐☑✓✗]|\(?\d{1,3}[.):]|\(?[^\W\d_][.)]|\(?[ivxIVX]{1,5}[.)])[ \t ]+\S")
 STOP = re.compile(r"[.!?؟。！？…][\"'”’»)\]]*(?=\s|$)")
 ENDS = re.compile(r"[.!?؟。！？…:;؛][\"'”’»)\]*_]*\s*$")
 URL = re.compile(r"\s*(?:https?://|www\.)\S+\s*$")
 GAP = re.compile(r"(?<=\S)(?: {2,}|\t+)(?=\S)")
+SEPARATORS = "|/›»>·•"
 MENU = re.compile(r"(?<=\S) +([|/›»>·•]) +(?=\S)|(?<=\S) {2,}(?=\S)")
 RULE = re.compile(r"[\s|+:=_.*~#-]+$")
 
@@ -66,6 +68,8 @@ def _alignment(lines: list[str]) -> tuple[float, str]:
         return best
     for d, least in (("|", 2), ("\t", 1), (";", 1), (",", 1)):
         counts = [x.count(d) for x in body]
+        if not any(counts):
+            continue
         if d == "|" and sum(c > 0 for c in counts) and not any(x.startswith("|") for x in body):
             least = 1
         c, k = Counter(c for c in counts if c >= least).most_common(1)[0] if any(c >= least for c in counts) else (0, 0)
@@ -74,10 +78,10 @@ def _alignment(lines: list[str]) -> tuple[float, str]:
             k = len(same)
         best = max(best, (k / n, d), key=lambda p: p[0])
     raw = [x.rstrip() for x in lines if not RULE.match(x.strip())] or lines
-    edges = [{(e, 0) for m in GAP.finditer(x) for e in (m.end(),)} | {(m.start(), 1) for m in GAP.finditer(x)} for x in raw]
-    usual = {e for e, k in Counter(e for s in edges for e in s).items() if k >= 0.6 * len(raw)}
-    gaps = Counter(len(GAP.findall(x)) for x in raw if GAP.search(x))
-    if usual and gaps:
+    spaced = [x for x in raw if "  " in x or "\t" in x]
+    if len(spaced) >= 0.6 * len(raw):
+        edges = [{(e, k) for m in GAP.finditer(x) for k, e in enumerate(m.span())} for x in spaced]
+        usual = {e for e, k in Counter(e for s in edges for e in s).items() if k >= 0.6 * len(raw)}
         k = sum(bool(s & usual) for s in edges)
         best = max(best, (k / len(raw), "gap"), key=lambda p: p[0])
     return best
@@ -87,6 +91,8 @@ def _separators(lines: list[str]) -> tuple[float, float]:
     """The share of lines made of short cells, and among these the share of the most usual separator: menus mix theirs."""
     kinds = Counter()
     for x in lines:
+        if "  " not in x and not any(c in x for c in SEPARATORS):
+            continue
         found = [m.group(1) or "gap" for m in MENU.finditer(x.strip())]
         if found and len(WORD.findall(x)) <= 4 * (len(found) + 1):
             kinds[Counter(found).most_common(1)[0][0]] += 1
@@ -110,7 +116,7 @@ def measure(text: str | None, common: frozenset[str]) -> dict:
     lines = [x for x in LINE.split(text) if x.strip()]
     words = WORD.findall(text.lower())
     n, k = max(1, len(text)), len(lines)
-    letters, digits, spaces = sum(map(len, words)), sum(map(str.isdigit, text)), sum(map(str.isspace, text))
+    letters, digits, spaces = sum(map(len, words)), sum(map(len, DIGITS.findall(text))), len(text) - sum(map(len, text.split()))
     marked = [bool(MARK.match(x)) for x in lines]
     per_line = [len(WORD.findall(x)) for x in lines]
     aligned, delimiter = _alignment(lines)
