@@ -12,6 +12,7 @@ from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import enrich, rules, text, url
 from ..functions.html import text_of
@@ -104,8 +105,7 @@ def ask(rows: DataFrame, complete: Callable[[dict], str | None], most: int = 600
             keep = [c for c in b.schema.names if c != "_body"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(answers, pa.string())], names=[*keep, "answer"])
 
-    schema = rows.schema.add("answer", "string")
-    return asked.mapInArrow(run, schema)
+    return asked.mapInArrow(run, StructType([*rows.schema.fields, StructField("answer", StringType())]))
 
 
 def enriched(new: DataFrame, complete: Callable[[dict], str | None] | None = None, cap: int = 0) -> DataFrame:
@@ -130,6 +130,26 @@ def enriched(new: DataFrame, complete: Callable[[dict], str | None] | None = Non
     }).drop("en")
 
 
+def backfilled(items: DataFrame, complete: Callable[[dict], str | None]) -> DataFrame:
+    """Updates (id and the enrichment columns) for stored items, asked of the model with their text, or their title where they have none.
+
+    Items whose call fails get the rules' result and stay in review.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text_at = b.schema.get_field_index("content_original")
+            bodies = [text_of(c or "") or t for c, t in zip(b.column(text_at).to_pylist(), b.column("title_original").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bodies, pa.string())], names=[*b.schema.names, "body"])
+
+    rows = items.select("id", "company", "product", "title_original", "content_original", "source_language", "verified")
+    rows = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("body", StringType())]))
+    fb = enrich.fallback(F.col("title_original"), F.col("body"))
+    done = ask(rows, complete).withColumn("fb", fb).withColumn("en", enrich.normalized(enrich.extract_json(F.col("answer")), F.col("fb")))
+    conf = F.col("en.confidence")
+    return done.select("id", "en.title_ar", "en.title_en", "en.summary_ar", "en.summary_en", "en.category", "en.tags", F.col("en.impact").alias("impact_level"), enrich.status(F.col("verified"), conf, conf).alias("status"))
+
+
 @dataclass
 class Run:
     """What a run yields: the items to insert (ids still to be given), the tagged entries, and per-source numbers."""

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import enrich, rules, text, url
 from .operators import changes, ingest, timestamps
+from .operators.store import Store
 from .plans import feed, operations
-from .schema import iso
+from .schema import NEWS_COLUMNS, NEWS_ITEMS, iso
+from .sources import listings, robots
 
 NOW = datetime(2026, 5, 1, tzinfo=timezone.utc)
 NOW_SQL = "TIMESTAMPTZ '2026-05-01 00:00:00+00'"
@@ -338,6 +340,55 @@ _add("ingested", lambda s, d: _run(s, d).items.select("source_id", "title_origin
 _add("ingest_per_source", lambda s, d: _run(s, d).per_source)
 _add("run_metrics", lambda s, d: ingest.run_metrics(_run(s, d).per_source))
 
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run as a stream: all raw entries landed in files, taken in by micro-batches."""
+    from .scratch import new_path
+    from .streaming import ingest as stream
+
+    landing, store = new_path(spark, "landing"), Store(spark, new_path(spark, "store"))
+    ingest.arrivals(_read(spark, sf_dir, "raw_entries")).write.parquet(landing)
+    store.write("items", _read(spark, sf_dir, "news_items").select(*NEWS_COLUMNS))
+    stream.start(spark, landing, _read(spark, sf_dir, "sources"), store, new_path(spark, "progress"), lambda: NOW).awaitTermination()
+    return store.read("items", NEWS_ITEMS).select("id", "title_original", "status", "content_hash")
+
+
+_add("stream_ingested", _streamed)
+
+
+# pages: each raw entry set as a listing of its own, and read again
+def _escaped(c: str):
+    x = F.coalesce(c, F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _read(spark, sf_dir, "raw_entries")
+    date = F.when(F.col("published_at").isNull(), "").otherwise(F.concat(F.lit("<time>"), _escaped("published_at"), F.lit("</time>")))
+    image = F.when(F.col("image_url").isNull(), "").otherwise(F.concat(F.lit('<img src="'), _escaped("image_url"), F.lit('">')))
+    body = F.concat(F.lit('<ul><li class="post"><h3><a href="'), _escaped("url"), F.lit('">'), _escaped("title"), F.lit("</a></h3>"), date, image, F.lit("</ul>"))
+    config = F.lit('{"html": {"itemSelector": "li.post", "titleSelector": "h3", "dateSelector": "time", "imageSelector": "img[src*=\\"img\\"]"}}')
+    pages = t.select(F.col("entry_id").cast("int").alias("source_id"), F.lit(0).alias("source_rank"), F.lit("html").alias("source_type"), body.alias("body"), F.lit("https://base.example").alias("base_url"), config.alias("extra"), F.lit(None).cast("string").alias("error"))
+    return listings.read_entries(pages).select(F.col("source_id").alias("entry_id"), "title", "url", "published_at", "image_url", "error")
+
+
+_add(
+    "listing_entries",
+    _listing,
+    f"""SELECT CAST(entry_id AS INT) AS entry_id, trim(regexp_replace(title, '{WS}+', ' ', 'g')) AS title, url, coalesce(regexp_replace(published_at, '^{WS}+|{WS}+$', '', 'g'), '') AS published_at, image_url, NULL::VARCHAR AS error
+        FROM raw_entries""",
+)
+ROBOTS = "User-agent: *\nDisallow: /loom\nAllow: /loomkit/\nDisallow: /*-1$\n\nUser-agent: other\nDisallow: /"
+_add(
+    "robots_decisions",
+    _table("raw_entries", lambda t: t.select("entry_id", robots.is_allowed("feedmill/1.0")(F.lit(ROBOTS), F.regexp_extract("url", r"^[a-z]+://[^/]+([^#]*)", 1)).alias("allowed"))),
+    r"""WITH p AS (SELECT entry_id, regexp_extract(url, '^[a-z]+://[^/]+([^#]*)', 1) AS p FROM raw_entries)
+        SELECT entry_id, CASE WHEN starts_with(p, '/loomkit/') THEN true WHEN starts_with(p, '/loom') THEN false WHEN strpos(p, '-1') > 1 AND strpos(p, '-1') = length(p) - 1 THEN false ELSE true END AS allowed FROM p""",
+)
+
 # timestamps of many forms
 _add("p5_found", lambda s, d: timestamps.normalise(_read(s, d, "raw_entries"), _read(s, d, "source_zones")).select("entry_id", "published_utc"))
 _add("p5_forms", lambda s, d: timestamps.normalise(_read(s, d, "raw_entries"), _read(s, d, "source_zones")).groupBy("source_id", "form").agg(F.count("*").alias("entries"), F.count_if(F.col("n_readings") > 1).alias("ambiguous")))

@@ -1,0 +1,87 @@
+import json
+import logging
+from datetime import datetime, timedelta, timezone
+
+import pytest
+
+from feedmill.config import JsonLines, Settings, flag, whole
+from feedmill.operators.changes import CapExceeded
+from feedmill.operators.store import Store
+from feedmill.service import Busy, Invalid, Service
+from feedmill.sources.model import ModelError, with_retries
+
+NOW = datetime(2026, 5, 28, 12, tzinfo=timezone.utc)
+ENTRY = "source_id int, source_rank bigint, entry_pos bigint, title string, url string, content string, published_at string, image_url string, error string"
+LONG = "<p>A long enough body about a new feature that people can read today.</p>"
+
+
+def model():
+    def complete(ask):
+        return json.dumps({"category": "model", "tags": ["t"], "impact": "low", "title_ar": "ع", "summary_ar": "م", "title_en": "t", "summary_en": "s", "confidence": 0.9})
+
+    return complete
+
+
+def test_service(spark, tmp_path):
+    s = Service(spark, Store(spark, f"file://{tmp_path}/store"), lambda: NOW)
+    assert s.health().first().healthy and s.feed({})["data"] == []
+    s.put_source({"company": "A", "source_url": "https://a.example/rss", "source_type": "rss", "official_domain": "a.example"})
+    for bad in ({"company": "A"}, {"company": "A", "source_url": "u", "source_type": "odd", "official_domain": "d"}, {"company": "A", "source_url": "u", "source_type": "rss", "official_domain": "d", "priority": 1001}):
+        with pytest.raises(Invalid):
+            s.put_source(bad)
+    rows = [(1, 0, i, f"Title {i}", f"https://a.example/{i}", LONG + str(i), (NOW - timedelta(days=i)).isoformat(), None, None) for i in range(3)]
+    entries = spark.createDataFrame(rows, ENTRY)
+    m = s.run(entries)
+    assert (m["items_inserted"], m["status"]) == (3, "success") and s.run(entries)["items_skipped"] == 3
+    assert s.feed({"limit": "2"})["pagination"] == {"limit": 2, "offset": 0, "total": 3, "has_more": True, "next_offset": 2}
+    assert s.latest({}).count() == 0  # without a model nothing is published
+    assert s.backfill(model(), 2) == 2 and s.latest({}).count() == 2 and s.digest().first().total == 2
+    assert s.promote() == 1 and s.promote(dry_run=False) == 1 and s.latest({}).count() == 3
+    assert s.item("2")["id"] == 2 and s.item(99) is None
+    for bad in ("x", 0, None):
+        with pytest.raises(Invalid):
+            s.item(bad)
+    assert s.companies().first().total_sources == 1 and s.health().first().healthy
+    assert s.purge()["all_items"] == 3 and s.purge(dry_run=False)["low"] == 0
+    assert sorted(r.job_name for r in s.runs.collect()) == ["ingestion", "ingestion", "promote", "purge"]
+    assert s.activate(["a.example"]).count() == 1 and s.sources.first().failure_count == 0
+    s.lock.acquire()
+    with pytest.raises(Busy):
+        s.run(entries)
+    s.lock.release()
+    failed = spark.createDataFrame([(1, 0, None, None, None, None, None, None, "HTTP 500")], ENTRY)
+    assert s.run(failed)["status"] == "failed" and s.sources.first().failure_count == 1 and not s.health().first().healthy
+    with pytest.raises(CapExceeded):
+        s.promote(dry_run=False, cap=-1)
+
+
+def test_retries():
+    waits, answers = [], [(429, 3.0, ""), (500, None, ""), OSError("net"), (200, None, "ok")]
+
+    def send(ask):
+        a = answers.pop(0)
+        if isinstance(a, OSError):
+            raise a
+        return a
+
+    assert with_retries(send, 4, waits.append)({}) == "ok"
+    assert waits[0] == 3.0 and 2 <= waits[1] <= 2.4 and 4 <= waits[2] <= 4.4
+    for status, text in ((401, "x"), (200, " ")):
+        answers[:] = [(status, None, text)]
+        with pytest.raises(ModelError):
+            with_retries(send, 4, waits.append)({})
+        assert answers == []
+    answers[:] = [(503, None, "")] * 2
+    with pytest.raises(ModelError):
+        with_retries(send, 2, waits.append)({})
+
+
+def test_settings_and_logs():
+    assert [flag(x, True) for x in (None, "", "no", "Yes", "1")] == [True, True, False, True, True]
+    assert [whole(x, 7) for x in (None, "", "text", "0", "-5", "30", "45.7", "nan", "inf")] == [7, 7, 7, 7, 7, 30, 45, 7, 7]
+    s = Settings.from_environment({"FEEDMILL_RETAIN_LOW_DAYS": "30", "FEEDMILL_ROBOTS": "0", "FEEDMILL_MODEL_BUDGET": "0"})
+    assert s.retention == {"junk": 14, "low": 30, "medium": 180, "high": 365} and not s.respect_robots and s.model_budget == 0
+    record = logging.LogRecord("x", logging.WARNING, "", 0, "said %s", ("a",), None)
+    record.fields = {"source_id": 3}
+    line = json.loads(JsonLines().format(record))
+    assert (line["level"], line["msg"], line["source_id"]) == ("warning", "said a", 3)
