@@ -187,6 +187,8 @@ def companies(sources: DataFrame, items: DataFrame) -> DataFrame:
         F.count_if("active").alias("active_sources"), F.count("*").alias("total_sources"), F.array_sort(F.collect_set("product")).alias("products"), F.max("last_checked_at").alias("last_checked_at")
     )
     kept = items.where(~F.col("status").isin("ignored", "duplicate")).select("company", "id", "detected_at", "title_original")
-    latest = kept.groupBy("company").agg(F.max(F.struct("detected_at", "id", "title_original")).alias("latest"))
+    # the latest moment first, by hash aggregation over all items; what stands at that moment is little
+    moment = kept.groupBy("company").agg(F.max("detected_at").alias("detected_at"))
+    latest = kept.join(moment, ["company", "detected_at"]).groupBy("company").agg(F.max(F.struct("id", "detected_at", "title_original")).alias("latest"))
     out = per.join(latest, "company", "left")
     return out.select("company", "active_sources", "total_sources", "products", "last_checked_at", F.col("latest.title_original").alias("latest_title"), F.col("latest.detected_at").alias("latest_detected_at")).orderBy("company")
