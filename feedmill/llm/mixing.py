@@ -73,7 +73,7 @@ def mix(
     inside = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.join(sums, ["source", "bucket"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     block = F.least(F.floor(F.col("start") * F.col("n_blocks") / F.col("all_tokens")), F.col("n_blocks") - 1).cast("int")
-    placed = written(placed.join(cuts, "source").select("doc_id", "source", "n_tokens", block.alias("block")), "placed")
+    placed = written(placed.join(F.broadcast(cuts), "source").select("doc_id", "source", "n_tokens", block.alias("block")), "placed")
     order = F.xxhash64(F.lit(seed), "source", "block")
     held = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")).withColumn("o", order).orderBy("source", "o", "block").collect()  # about `blocks` rows
     by_source: dict[str, list] = {}
@@ -87,9 +87,10 @@ def mix(
     seats = apportion(usable, total)
     per_shard = max(1, -(-len(seats) // shards))
     chosen = [(s, by_source[s][k % len(by_source[s])][0], k // len(by_source[s]), i // per_shard) for i, (s, k) in enumerate(seats)]
+    # bounded: a row for each seat of the plan, which the driver holds anyway, and above one for each targeted source
     taken = spark.createDataFrame(chosen, "source string, block int, repeat_no int, shard int")
-    mixture = placed.join(taken, ["source", "block"]).select("doc_id", "source", "n_tokens", "shard", "repeat_no")
-    got = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")).join(taken, ["source", "block"]).groupBy("source").agg(F.sum("t").alias("tokens"), F.count("*").alias("seats"))
+    mixture = placed.join(F.broadcast(taken), ["source", "block"]).select("doc_id", "source", "n_tokens", "shard", "repeat_no")
+    got = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")).join(F.broadcast(taken), ["source", "block"]).groupBy("source").agg(F.sum("t").alias("tokens"), F.count("*").alias("seats"))
     shares = rows.join(got, "source", "left").join(cuts, "source", "left").join(counted.groupBy("source").agg(F.count("*").alias("documents")), "source", "left")
     zero = F.lit(0).cast("bigint")
     everything = Window.partitionBy(F.lit(0))  # over the control table
