@@ -9,6 +9,7 @@ in each shard; which block takes a seat is decided by a seeded order of the sour
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -43,6 +44,16 @@ def apportion(sources: list[dict], total: float) -> list[tuple[str, int]]:
     return seats
 
 
+def level(sources: list[tuple[float, float]], total: float) -> float:
+    """Tokens per unit of target at which sources (target, tokens at most), filled alike, hold ``total`` together; inf if they can't."""
+    left, targets = total, sum(t for t, _ in sources)
+    for target, most in sorted(sources, key=lambda s: s[1] / s[0]):
+        if most / target * targets >= left:
+            return left / targets
+        left, targets = left - most, targets - target
+    return math.inf
+
+
 def mix(
     documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, blocks: int = 4096, shards: int = 16, seed: int = 7, bucket_rows: int = 20_000, path: str = VOCABULARY
 ) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +65,8 @@ def mix(
 
     total_tokens: the size of the mixture; by default the largest at which every targeted source that has any text reaches its
     share within its repeats.  With a larger total, sources that reach max_repeats are marked capped and the others fill the
-    rest.  ``blocks`` bounds the seats that one reading of all sources needs, so the driver holds a table of about that size, however large the corpus is.  Documents of null or
+    rest.  ``blocks`` is about the number of seats of the mixture (fewer where documents are larger than total / blocks), so the
+    driver holds a table of about that size, however large the corpus is and however scarce a source.  Documents of null or
     empty text, of a null source or of one without target are not taken.  Ids may repeat; equal ids are ordered by their token counts.
     """
     spark = documents.sparkSession
@@ -67,23 +79,36 @@ def mix(
     sums = counted.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("offset"))
-    have = {r["source"]: (r["t"], r["d"]) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("d")).collect()}
-    size = max(sum(t for t, _ in have.values()) / blocks, 2 * sum(t for t, _ in have.values()) / max(1, n), 1)
-    cuts = spark.createDataFrame([(s, t, max(1, round(t / size))) for s, (t, _) in have.items()], "source string, all_tokens bigint, n_blocks int")
+    sizes = counted.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("d"), F.max("n_tokens").alias("m"))
+    have = {r["source"]: (r["t"], r["d"], r["m"]) for r in sizes.collect()}
+    plan = [{"name": r["source"], "target": r["target_share"], "repeats": max(0, r["max_repeats"] or 0), "tokens": have.get(r["source"], (0, 0, 0))[0]} for r in rows.collect()]
+    usable = [s for s in plan if s["target"] and s["target"] > 0 and s["repeats"] and s["tokens"] > 0]
+    asked = sum(s["target"] for s in usable)
+    total = total_tokens or min((s["tokens"] * s["repeats"] * asked / s["target"] for s in usable), default=0)
+    total = min(total, sum(s["tokens"] * s["repeats"] for s in usable))
+    size = max(total / blocks, 1)  # of the mixture, not of all text: a scarce source makes the blocks of the large ones small too
+    n_blocks = {s: max(1, min(d, round(t / size))) for s, (t, d, _) in have.items()}
+    cuts = spark.createDataFrame([(s, t, n_blocks[s]) for s, (t, _, _) in have.items()], "source string, all_tokens bigint, n_blocks int")
     inside = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.join(sums, ["source", "bucket"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    block = F.least(F.floor(F.col("start") * F.col("n_blocks") / F.col("all_tokens")), F.col("n_blocks") - 1).cast("int")
+    block = F.least(F.floor(F.col("start") / F.col("all_tokens") * F.col("n_blocks")), F.col("n_blocks") - 1).cast("int")
     placed = written(placed.join(F.broadcast(cuts), "source").select("doc_id", "source", "n_tokens", block.alias("block")), "placed")
-    order = F.xxhash64(F.lit(seed), "source", "block")
-    held = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")).withColumn("o", order).orderBy("source", "o", "block").collect()  # about `blocks` rows
+    # A source takes a block only while it is below the level of all, give or take half a block of each; blocks after that aren't collected.
+    slack = sum(have[s["name"]][0] / n_blocks[s["name"]] + have[s["name"]][2] for s in usable) / 2
+    top = level([(s["target"], s["tokens"] * s["repeats"]) for s in usable], total + slack)
+    limits = [(s["name"], float(min(total, s["target"] * top)), -(-n_blocks[s["name"]] // 64)) for s in usable]
+    limits = spark.createDataFrame(limits, "source string, limit double, slices int")
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "source", "block"), 1)
+    held = placed.join(F.broadcast(limits), "source").withColumn("o", order).withColumn("slice", F.floor(F.shiftright("o", 32) * F.col("slices") / 2**31).cast("int"))
+    earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = held.groupBy("source", "slice", "limit").agg(F.sum("n_tokens").alias("in_slice")).withColumn("before", F.coalesce(F.sum("in_slice").over(earlier), F.lit(0)))
+    held = held.join(slices.where(F.col("before") < F.col("limit")).select("source", "slice"), ["source", "slice"])
+    held = held.groupBy("source", "block", "o").agg(F.sum("n_tokens").alias("t")).orderBy("source", "o", "block").collect()  # about `blocks` rows, and a slice of 64 for each source
     by_source: dict[str, list] = {}
     for r in held:
         by_source.setdefault(r["source"], []).append((r["block"], float(r["t"])))
-    control = rows.collect()
-    plan = [{"name": r["source"], "target": r["target_share"], "repeats": max(0, r["max_repeats"] or 0), "blocks": [t for _, t in by_source.get(r["source"], [])]} for r in control]
-    usable = [s for s in plan if s["target"] and s["target"] > 0 and s["repeats"] and sum(s["blocks"]) > 0]
-    asked = sum(s["target"] for s in usable)
-    total = total_tokens or min((sum(s["blocks"]) * s["repeats"] * asked / s["target"] for s in usable), default=0)
+    for s in usable:
+        s["blocks"] = [t for _, t in by_source[s["name"]]]
     seats = apportion(usable, total)
     per_shard = max(1, -(-len(seats) // shards))
     chosen = [(s, by_source[s][k % len(by_source[s])][0], k // len(by_source[s]), i // per_shard) for i, (s, k) in enumerate(seats)]

@@ -73,6 +73,31 @@ def test_mixture(spark):
     assert mixing.mix(df.limit(0), targets)[0].count() == 0 and mixing.mix(df, targets.limit(0))[1].count() == 0
 
 
+def test_a_scarce_source_leaves_the_large_ones_their_shares(spark):
+    rng = random.Random(6)
+    docs = [(i, s, " ".join(["word"] * rng.randrange(20, 60))) for i, s in enumerate(["a"] * 3000 + ["b"] * 3000 + ["c"] * 3000 + ["scarce"] * 2)]
+    want = {"a": (0.6, 1), "b": (0.33, 1), "c": (0.03, 2), "scarce": (0.04, 4)}
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    mixture, shares = mixing.mix(df, spark.createDataFrame([(s, *w) for s, w in want.items()], "source string, target_share double, max_repeats int"), blocks=256)
+    got = {r.source: r for r in shares.collect()}
+    assert all(abs(got[s].actual_share - t) < 0.01 for s, (t, _) in want.items())
+    assert got["scarce"].capped and 150 < sum(r.seats for r in got.values()) < 350 and mixture.count() < 400
+
+
+def test_no_source_passes_its_level():
+    rng = random.Random(8)
+    for _ in range(200):
+        plan = [{"name": str(k), "target": rng.random() ** 3 + 1e-6, "repeats": rng.randrange(1, 4), "blocks": [float(rng.randrange(1, 90)) for _ in range(rng.randrange(1, 60))]} for k in range(rng.randrange(1, 7))]
+        most = sum(sum(s["blocks"]) * s["repeats"] for s in plan)
+        total = rng.random() * most
+        top = mixing.level([(s["target"], sum(s["blocks"]) * s["repeats"]) for s in plan], total + sum(max(s["blocks"]) for s in plan) / 2)
+        got = dict.fromkeys([s["name"] for s in plan], 0.0)
+        for name, k in mixing.apportion(plan, total):
+            s = plan[int(name)]
+            assert got[name] < min(total, s["target"] * top)
+            got[name] += s["blocks"][k % len(s["blocks"])]
+
+
 KINDS = [
     ("- one thing\n- two things\n- three things\n- four things", "list"), ("Intro:\n1. alpha beta\n2. gamma delta\n3. epsilon zeta", "list"), ("| a | b |\n| --- | --- |\n| c | 1 |\n| d | 2 |", "table"), ("name\tsize\nalpha\t3\nbeta\t4\ngamma\t5", "table"),
     ("alpha   12   beta\ngamma   13   delta\nomega   14   sigma", "table"), ("~~~~~~~~~~~~~~~~\n****************", "junk"), ("tok " * 40, "junk"), ("https://a.example/x\nhttps://a.example/y", "junk"), ("The alpha thing is small. We like it, and it is one of two things.\n\n- one thing\n\nThe end is near.", "prose"), ("Short text", "prose"),
