@@ -88,7 +88,7 @@ def look(text: str) -> tuple[bool, bool, bool, str, str]:
 
 
 def _pass(values: DataFrame) -> DataFrame:
-    """values: id, source, field, value.  Rows of kind end (a value without a proper end), line (a last line, counted), word (counted)."""
+    """values: id, source, field, value.  Rows of kind end (a value without a proper end), line (a last line, counted; a null one counts the values), word (counted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -105,6 +105,7 @@ def _pass(values: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 whole, sure, prose, token, line = look(text)
+                lines[source, field, None] += 1
                 if line:
                     lines[source, field, line] += 1
                 if not whole:
@@ -138,11 +139,12 @@ def _spikes(ends: DataFrame, unit: str, least: int) -> DataFrame:
     return by.withColumn("near", F.sum("n").over(near)).where((F.col("n") >= least) & (F.col("n") * 24 >= (F.col("near") - F.col("n")) * 10)).select("field", F.col("length").alias(unit), F.lit(True).alias(f"at_{unit}"))
 
 
-def truncated(df: DataFrame, id_col: str, source_col: str, fields: list[str], spike: int = 8, repeated: int = 4) -> DataFrame:
+def truncated(df: DataFrame, id_col: str, source_col: str, fields: list[str], spike: int = 8, repeated: int = 4, share: float = 0.01, firm: float = 0.05) -> DataFrame:
     """(id, field, source) of the values of ``fields`` that were cut before their end.
 
-    Null, empty and blank values are whole.  A last line that ``repeated`` or more values of a source share is a closing
-    line and no broken sentence.  Ids may be null or repeat; other columns aren't read.  Whole values are read.
+    Null, empty and blank values are whole.  A last line that ``repeated`` or more values of a source and the part
+    ``share`` of all its values have is a closing line and no broken sentence, though cut if its word or length shows a cut;
+    from the part ``firm`` on only a sign or open markup does.  Ids may be null or repeat; other columns aren't read.  Whole values are read.
     """
     pick = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
     values = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).alias("source"), pick.alias("v")).select("id", "source", "v.field", "v.value")
@@ -152,12 +154,15 @@ def truncated(df: DataFrame, id_col: str, source_col: str, fields: list[str], sp
     tokens = ends.where("token <> ''").select(F.col("token").alias("node")).distinct()
     nodes = trie(words).join(tokens, "node", "left_semi")
     cut_word = nodes.where("ends = 0 and goes_on > 0").select(F.col("node").alias("token"), F.lit(True).alias("cut_word"))
-    closing = seen.where("kind = 'line'").groupBy("source", "field", "line").agg(F.sum("n").alias("same")).where(F.col("same") >= repeated)
+    lines = seen.where("kind = 'line'").groupBy("source", "field", "line").agg(F.sum("n").alias("same"))
+    sizes = lines.where("line is null").select("source", "field", F.col("same").alias("size"))
+    lines = lines.where(F.col("line").isNotNull() & (F.col("same") >= repeated))
+    closing = lines.join(sizes, lines.source.eqNullSafe(sizes.source) & (lines.field == sizes.field)).select(lines["*"], "size")
+    closing = closing.where(F.col("same") >= share * F.col("size")).withColumn("firm", F.col("same") >= firm * F.col("size"))
     out = ends.join(cut_word, "token", "left").join(_spikes(ends, "chars", spike), ["field", "chars"], "left").join(_spikes(ends, "bytes", spike), ["field", "bytes"], "left")
-    out = out.join(closing, (out.source.eqNullSafe(closing.source)) & (out.field == closing.field) & (out.line == closing.line), "left").select(out["*"], "same", "cut_word", "at_chars", "at_bytes")
-    closes = F.col("same").isNotNull()
-    open_end = F.col("token") != ""
-    flag = F.col("sure") | (~closes & (F.coalesce("cut_word", F.lit(False)) | F.col("prose") | (open_end & (F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))))))
+    out = out.join(closing, (out.source.eqNullSafe(closing.source)) & (out.field == closing.field) & (out.line == closing.line), "left").select(out["*"], "firm", "cut_word", "at_chars", "at_bytes")
+    shown = F.coalesce("cut_word", "at_chars", "at_bytes", F.lit(False))
+    flag = F.col("sure") | (shown & ~F.coalesce("firm", F.lit(False))) | (F.col("prose") & F.col("firm").isNull())
     return out.where(flag).select("id", "field", "source")
 
 

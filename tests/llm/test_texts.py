@@ -187,6 +187,29 @@ def test_truncated(spark):
     assert truncation.truncated(df.limit(0), "id", "src", ["body"]).count() == 0
 
 
+def test_cut_values_of_a_large_source(spark):
+    rng = random.Random(12)
+    words = [a + b for a in ("stand", "mark", "print", "learn", "count") for b in ("ing", "er", "able", "ful")]
+    rows, cut = [], set()
+    for i in range(1000):
+        t = " ".join(rng.choice(words) for _ in range(rng.randrange(15, 40))).capitalize() + "."
+        if i < 12:  # cut at 200 characters, behind a line that others of the source have
+            tail = ["\nHarbordeck ", "\n- version 12", "\n- names ("][i % 3]
+            t = ("Word " * 40)[: 199 - len(tail)] + "." + tail
+            cut.add(i)
+        elif i < 20:
+            t += "\nHarbordeck"
+        elif i < 26:  # a broken sentence that a few rows have
+            t += "\nwe are happy to announce the"
+            cut.add(i)
+        elif i < 126:
+            t += "\nShare this with all your friends today"
+        rows.append((i, "s", t))
+    df = spark.createDataFrame(rows, "id int, src string, body string")
+    got = {r.id for r in truncation.truncated(df, "id", "src", ["body"]).collect()}
+    assert got == cut
+
+
 EN = "the quick people of this town walk over to their house when it rains and they talk about what was said there".split()
 DE = "die schnellen leute aus dieser stadt gehen zu ihrem haus wenn es regnet und sie reden was dort gesagt wurde".split()
 AR = "الناس في هذه المدينة يذهبون إلى بيوتهم عندما ينزل المطر ويتحدثون عما قيل هناك".split()
