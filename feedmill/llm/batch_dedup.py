@@ -1,11 +1,11 @@
-"""Deduplicating new batches against all history by multi-key sorted-neighbourhood runs.
-
-Each distinct text has ``tables`` sort keys, each made of ``rows`` min-wise values of its shingles, and its normalised
-content hash is one more key.  Accepted records are kept as runs: tables bucketed and sorted by key in the shared folder, so a
-key's range lies in one bucket of each run.  A batch is sketched once, sorted into the same buckets and merged with
-each run: only the window of records with an equal key is compared, through a sketch of 64 two-bit values, and no run is shuffled,
-sorted or rewritten for it.  The batch then becomes a run of its own; when there are more than ``max_runs``, the small
-ones are compacted into one.  Exact comparison of the shingle sets of the candidates follows.
+"""Deduplicating new batches against all history by min-hash banding over bucketed runs.
+
+Each distinct text has ``tables`` keys, each made of ``rows`` min-wise values of its shingles, and its normalised
+content hash is one more key.  Accepted records are kept as runs: tables bucketed by key in the shared folder.  A batch is
+sketched once, sorted into the same buckets and joined with each run: only records with an equal key are compared, through a
+sketch of 64 two-bit values, and no run is shuffled, sorted or rewritten for it; the keys of each run are read whole.
+The batch then becomes a run of its own; when there are more than ``max_runs``, the small ones are compacted into one.
+Exact comparison of the shingle sets of the candidates follows.
 """
 
 from __future__ import annotations
