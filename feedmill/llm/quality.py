@@ -1,8 +1,9 @@
 """Text quality statistics of each document, and its kind: prose, list, table or junk.
 
-Structure comes from the layout: a table's delimiters or column gaps align vertically; a list's lines begin with markers at a
-steady indentation, or are short lines without sentence ends; wrapped prose has lines of steady length, which the
-autocorrelation of the line lengths tells from both.  Word, symbol, punctuation and repetition ratios decide about junk.
+Structure comes from the layout: a table's delimiters or column gaps align vertically; a list's lines begin with markers, or
+are short lines without sentence ends, which tells them from wrapped prose.  The periodicity of the indentation and the
+autocorrelation of the line lengths are reported, but take no part in the kind.
+Word, symbol, punctuation and repetition ratios decide about junk.
 """
 
 from __future__ import annotations
