@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..scratch import new_path, written
 from . import textops as T
-from .near_dup import verified
+from .near_dup import likely, verified
 
 SKETCH = "id bigint, tag int, copy bigint, b0 bigint, b1 bigint, keys array<bigint>, mins binary, hash string"
 
@@ -74,7 +74,7 @@ class HistoryIndex:
         self.spark, self.words, self.threshold, self.rows, self.max_runs = spark, words, threshold, rows, max_runs
         self.tables = max(1, math.ceil(math.log(miss) / math.log(1 - threshold**rows)))
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.least = T.least_agreement(threshold)
+        self.least = T.least_agreement(threshold, 2.75)
         self.runs: list[tuple[str, int]] = []
 
     def sketch(self, df: DataFrame) -> DataFrame:
@@ -143,21 +143,6 @@ class HistoryIndex:
         self.runs = []
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, threshold: float, sigmas: float = 3.0) -> DataFrame:
-    """The pairs (id_a, id_b) whose min-wise values, eight bits of each, agree about as often as an overlap of ``threshold`` lets expect."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("ma", "mb"))
-                n = x.shape[1]
-                keep = (x == y).sum(axis=1) >= n * threshold - sigmas * math.sqrt(n * threshold * (1 - threshold))
-                yield b.select(["id_a", "id_b"]).filter(pa.array(keep))
-
-    a, b = sketches.select("id", "mins").toDF("id_a", "ma"), sketches.select("id", "mins").toDF("id_b", "mb")
-    return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "ma", "mb").mapInArrow(run, "id_a bigint, id_b bigint")
-
-
 def repeats(history: DataFrame, batches: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id_a, id_b): each row id_b of ``batches`` that repeats an earlier row, with the smallest such id_a.
 
@@ -180,7 +165,7 @@ def repeats(history: DataFrame, batches: DataFrame, words: int = 5, threshold: f
     texts = history.select("id", "text").union(batches.select("id", "text"))
     texts = texts.where("id is not null").select(F.col("id").cast("bigint").alias("id"), "text")
     pairs = found.where("kind = 0").select(F.col("old_id").alias("id_a"), F.col("new_id").alias("id_b")).distinct()
-    pairs = written(likely(pairs, past.select("id", "mins").union(new.select("id", "mins")), threshold), "likely")
+    pairs = written(likely(pairs, past.select("id", "mins").union(new.select("id", "mins")), threshold, 3.0), "likely")
     near = verified(pairs, texts, words, threshold).groupBy("id_b").agg(F.min("id_a").alias("near"))
     same = found.where("kind = 1").groupBy("new_id").agg(F.min("old_id").alias("same"))
 

@@ -37,7 +37,7 @@ def groups_for(threshold: float, miss: float = 0.02) -> int:
 
 
 def _sketch(df: DataFrame, words: int, min_words: int, groups: int) -> DataFrame:
-    """id, copy (hash of the word sequence), b0, b1 (bit sketch), keys; rows with fewer words or no shingle are left out."""
+    """id, copy (hash of the word sequence), b0, b1 (bit sketch), keys, mins (eight bits of each value); rows with fewer words or no shingle are left out."""
     hasher, masks = T.MinHash(max(64, 7 * groups)), covering_masks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,13 +59,14 @@ def _sketch(df: DataFrame, words: int, min_words: int, groups: int) -> DataFrame
                 for v, keep in enumerate(masks):
                     keys[:, 7 * g + v] = T.combine([m[:, 7 * g + i] for i in keep], 7 * g + v + 1)
             bits = T.bit_sketch(m)
+            low = [x.tobytes() for x in (T.mix(m.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)]
             offsets = np.arange(0, keys.size + 1, 7 * groups, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.array(copies, np.uint64).view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
-                names=["id", "copy", "b0", "b1", "keys"],
+                [pa.array(ids, pa.int64()), pa.array(np.array(copies, np.uint64).view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())), pa.array(low, pa.binary())],
+                names=["id", "copy", "b0", "b1", "keys", "mins"],
             )
 
-    return df.mapInArrow(run, "id bigint, copy bigint, b0 bigint, b1 bigint, keys array<bigint>")
+    return df.mapInArrow(run, "id bigint, copy bigint, b0 bigint, b1 bigint, keys array<bigint>, mins binary")
 
 
 def _shingle_table(df: DataFrame, words: int) -> DataFrame:
@@ -87,6 +88,21 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
     return pairs.join(a, "id_a").join(b, "id_b").where(F.size("sa") > 0).select("id_a", "id_b", overlap.alias("overlap")).where(F.col("overlap") >= threshold)
 
 
+def likely(pairs: DataFrame, sketches: DataFrame, threshold: float, sigmas: float = 3.5) -> DataFrame:
+    """The pairs (id_a, id_b) whose min-wise values, eight bits of each, agree about as often as an overlap of ``threshold`` lets expect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("ma", "mb"))
+                n = x.shape[1]
+                keep = (x == y).sum(axis=1) >= n * threshold - sigmas * math.sqrt(n * threshold * (1 - threshold))
+                yield b.select(["id_a", "id_b"]).filter(pa.array(keep))
+
+    a, b = sketches.select("id", "mins").toDF("id_a", "ma"), sketches.select("id", "mins").toDF("id_b", "mb")
+    return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "ma", "mb").mapInArrow(run, "id_a bigint, id_b bigint")
+
+
 def _within(ids: np.ndarray, bits: np.ndarray, pairs: np.ndarray, least: int) -> np.ndarray:
     """Of index pairs (n, 2) those whose sketches agree in at least ``least`` of 64 values, as id pairs, smaller first."""
     x = bits[pairs[:, 0]] ^ bits[pairs[:, 1]]
@@ -171,7 +187,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     found = raw.where("id_b is not null")
     if not raw.where("id_b is null").isEmpty():
         found = found.union(_blocks(keys, hot, least))
-    pairs = verified(found.where("id_a < id_b").distinct(), texts, words, threshold)
+    close = written(likely(found.where("id_a < id_b").distinct(), sketch, threshold).distinct(), "likely")
+    pairs = verified(close, texts, words, threshold)
     return pairs.groupBy("id_a", "id_b").agg(F.max("overlap").alias("overlap")), copies  # one row, even where ids repeat
 
 

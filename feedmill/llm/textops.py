@@ -91,7 +91,7 @@ def bit_sketch(mins: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=2).view(np.int64).reshape(len(mins), 2)
 
 
-def least_agreement(threshold: float, sigmas: float = 2.75) -> int:
+def least_agreement(threshold: float, sigmas: float = 3.5) -> int:
     """In how many of the 64 two-bit values two sets with an overlap of ``threshold`` agree, less ``sigmas`` deviations."""
     agree = threshold + (1 - threshold) / 4
     return math.floor(64 * agree - sigmas * math.sqrt(64 * agree * (1 - agree)))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -147,3 +148,18 @@ def test_sketch_estimates_overlap():
     agree = 64 - int(np.bitwise_count((s[0, 0] ^ s[1, 0]) | (s[0, 1] ^ s[1, 1])))
     assert agree >= T.least_agreement(0.5)
     assert (h(np.tile(a, 3)) == h(a)).all()
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_the_sketch_loses_few_pairs_at_the_threshold(threshold):
+    agree, least = threshold + (1 - threshold) / 4, T.least_agreement(threshold)
+    assert sum(math.comb(64, k) * agree**k * (1 - agree) ** (64 - k) for k in range(least)) < 3e-4
+
+
+def test_min_wise_values_lose_few_pairs_at_the_threshold(spark):
+    n, threshold, odd = 96, 0.5, 0
+    while odd < n and sum(math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(odd + 1)) < 3e-4:
+        odd += 1  # the fewest agreements that a pair at the threshold has with more than this probability
+    sketches = spark.createDataFrame([(1, bytes(n)), (2, bytes(odd) + b"x" * (n - odd)), (3, b"y" * n)], "id bigint, mins binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "id_a bigint, id_b bigint")
+    assert [(r.id_a, r.id_b) for r in batch_dedup.likely(pairs, sketches, threshold).collect()] == [(1, 2)]
