@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -24,6 +25,7 @@ NOTHING = ["soon", "Spring", "", " ", "—", "n/a", None, "24:61", "0000-00-00",
 @pytest.mark.parametrize("text, zone, day_first, want", CASES)
 def test_readings(text, zone, day_first, want):
     found = T.interpretations(text, AT, zone, day_first)
+    found = [found[k] for k in T.cheapest([found])]  # the reading against the declared order is there, and costs most
     assert [f"{a:%Y-%m-%dT%H:%M:%S}.{a.microsecond // 1000:03d}Z" for _, a, _ in found] == [want]
 
 
@@ -65,6 +67,45 @@ def test_cutting_at_certain_records_changes_nothing():
         assert cost(T.cheapest(records)) == pytest.approx(best)
 
 
+def test_the_declared_order_is_a_cost_and_not_a_filter():
+    both = T.interpretations("04/12/2024 17:11", AT, "UTC", True)
+    assert [(r[0], r[1].month, r[2]) for r in both] == [("day/", 12, 0.0), ("month/", 4, T.AGAINST)]
+    only = T.interpretations("04/25/2024", AT, "UTC", True)
+    assert only[0][1] is None and only[1][1].month == 4 and T.cheapest([only]) == [0]
+    assert len(T.interpretations("04/04/2024", AT, "UTC", False)) == 1
+
+
+def test_blocks_give_the_path_of_the_whole_sequence():
+    rng = random.Random(5)
+    day = lambda d: datetime(2026, 1, 1 + d, tzinfo=timezone.utc)
+
+    def total(records, picks):
+        chosen = [r[k] for r, k in zip(records, picks)]
+        return sum(o[2] for o in chosen) + sum(T.step(a, b) for a, b in zip(chosen, chosen[1:]))
+
+    for _ in range(80):
+        some = lambda: day(rng.randrange(20)) if rng.random() < 0.9 else None
+        records = [[(rng.choice("abc"), some(), rng.random()) for _ in range(rng.choice([1, 2, 3]))] for _ in range(rng.randrange(1, 12))]
+        n = rng.choice([1, 2, 3, 5])
+        cut = [records[k : k + n] for k in range(0, len(records), n)]
+        ends = T.joined([(b[0], b[-1], T.matrix(b)) for b in cut])
+        picks = []
+        for b, (i, j) in zip(cut, ends):
+            fixed = [[o for k, o in enumerate(r) if (x or k == i) and (x < len(b) - 1 or k == j)] for x, r in enumerate(b)]
+            inner = T.cheapest(fixed)
+            picks += [i if x == 0 else j if x == len(b) - 1 else k for x, k in enumerate(inner)]
+        assert total(records, picks) == pytest.approx(total(records, T.cheapest(records)))
+
+
+def test_normalise_over_block_limits(spark):
+    rows = [(k, k % 2, datetime(2026, 5, 1 + k // 40, k % 24, k % 60, tzinfo=timezone.utc), f"{1 + k % 12:02d}/05/2026 10:00") for k in range(200)]
+    raw = spark.createDataFrame(rows, "entry_id bigint, source_id int, fetched_at timestamp, published_at string")
+    zones = spark.createDataFrame([(0, "UTC", None)], "source_id int, zone_name string, day_first boolean")
+    want = {(r.entry_id, r.published_utc) for r in T.normalise(raw, zones).collect()}
+    assert len(want) == 200
+    assert {(r.entry_id, r.published_utc) for r in T.normalise(raw, zones, block=7).collect()} == want
+
+
 def test_normalise(spark):
     rows = [(1, 7, AT, "2026-05-01", "x"), (2, 7, AT, "soon", "x"), (3, 8, AT, "05/06/2026 10:00", "x"), (4, 9, None, "2 hours ago", "x"), (5, None, AT, "2026-05-01T00:00:00", "x"), (None, 7, AT, "1705073504", "x"), (1, 7, AT, "2026-05-01", "x"), (6, 7, AT, None, "x")]
     raw = spark.createDataFrame(rows, "entry_id bigint, source_id int, fetched_at timestamp, published_at string, zone_name string")
