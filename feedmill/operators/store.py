@@ -4,36 +4,31 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..scratch import get_text, put_text, remove
 
 
 class Store:
     """Tables below ``path``, on any file system that Spark reads. One writer at a time.
 
-    A version is a folder of Parquet files; ``CURRENT`` holds its name and is replaced by a rename, so readers see the old version or the
-    new one and a failed write leaves the old one in place.
+    A version is a folder of Parquet files; ``CURRENT`` names it and the versions that are still kept.  It is replaced by one
+    overwriting rename, so readers see the old version or the new one, and a failed write leaves the old one in place.  The last
+    ``keep`` versions stay for readers that still hold them; older ones are removed.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3) -> None:
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), max(1, keep)
 
-    def _fs(self, at: str):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(at)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where, jvm
+    def _versions(self, table: str) -> list[str]:
+        return (get_text(self.spark, f"{self.path}/{table}/CURRENT") or "").split()
 
     def version(self, table: str) -> str | None:
-        fs, where, _ = self._fs(f"{self.path}/{table}/CURRENT")
-        if not fs.exists(where):
-            return None
-        f = fs.open(where)
-        try:
-            return f.readLine()
-        finally:
-            f.close()
+        """The name of the current version; None for a table that was never written."""
+        return next(iter(self._versions(table)), None)
 
     def read(self, table: str, schema: str) -> DataFrame:
-        """The current version, or an empty table of ``schema``."""
+        """The current version, or an empty table of ``schema``; columns that the version lacks are null."""
         v = self.version(table)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/{v}") if v else self.spark.createDataFrame([], schema)
 
@@ -41,7 +36,11 @@ class Store:
         v = f"v-{uuid.uuid4().hex}"
         out = df.write
         (out.partitionBy(*partition_by) if partition_by else out).parquet(f"{self.path}/{table}/{v}")
-        return self._point(table, v)
+        versions = [v, *self._versions(table)]
+        put_text(self.spark, f"{self.path}/{table}/CURRENT", "\n".join(versions[: self.keep]))
+        for old in versions[self.keep :]:
+            remove(self.spark, f"{self.path}/{table}/{old}")
+        return v
 
     def append(self, table: str, df: DataFrame) -> None:
         """Rows added to the current version's folder."""
@@ -51,13 +50,18 @@ class Store:
         else:
             df.write.mode("append").parquet(f"{self.path}/{table}/{v}")
 
-    def _point(self, table: str, v: str) -> str:
-        fs, new, jvm = self._fs(f"{self.path}/{table}/CURRENT.{v}")
-        f = fs.create(new, True)
-        f.writeBytes(v)
-        f.close()
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/CURRENT")
-        if not fs.rename(new, target):
-            fs.delete(target, False)
-            fs.rename(new, target)
-        return v
+    def migrate(self, table: str, schema: str) -> list[str]:
+        """Brings a table to ``schema``: creates it empty, or writes it anew with the columns it lacks as nulls; what was changed.
+
+        Columns that ``schema`` doesn't name are kept.
+        """
+        wanted = self.spark.createDataFrame([], schema)
+        v = self.version(table)
+        if v is None:
+            self.write(table, wanted)
+            return [f"{table} created"]
+        stored = self.spark.read.parquet(f"{self.path}/{table}/{v}")
+        missing = [f for f in wanted.schema.fields if f.name not in stored.columns]
+        if missing:
+            self.write(table, stored.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}))
+        return [f"{table}.{f.name} added" for f in missing]
