@@ -115,19 +115,89 @@ def first_earlier(rows, n, threshold, new):
     return out
 
 
-@pytest.mark.parametrize("max_runs", [1, 3])
-def test_batches_against_brute_force(spark, max_runs, monkeypatch):
+@pytest.mark.parametrize("fan", [2, 4])
+def test_batches_against_brute_force(spark, fan):
     rows = corpus(160, 11)
     hashes = [f"{RNG.randrange(140):064X}" if RNG.random() < 0.8 else RNG.choice([None, "", " "]) for _ in rows]
     full = [(i, t, h.lower() if h and RNG.random() < 0.5 else h) for (i, t), h in zip(rows, hashes)]
     history = spark.createDataFrame([(*r, "tag") for r in full if r[0] <= 90], "id int, text string, hash string, tag string")
     batches = spark.createDataFrame([(*r, 1 + (r[0] - 91) // 20, "x") for r in full if r[0] > 90], "id int, text string, hash string, batch int, copy string")
-    init = batch_dedup.HistoryIndex.__init__
-    monkeypatch.setattr(batch_dedup.HistoryIndex, "__init__", lambda self, *a: init(self, *a, max_runs=max_runs))
-    got = {r.id_b: r.id_a for r in batch_dedup.repeats(history, batches, 3, 0.5).collect()}
+    got = {r.id_b: r.id_a for r in batch_dedup.repeats(history, batches, 3, 0.5, fan).collect()}
     assert got == first_earlier(full, 3, 0.5, [r[0] for r in full if r[0] > 90]) and len(got) > 20
 
 
+def test_windows_in_full_and_in_part():
+    rng = np.random.default_rng(3)
+    for many in (5, 2000):  # short windows, and long ones that are read in pieces
+        ok, oi = np.sort(rng.integers(0, 7, 40 * many)), rng.permutation(40 * many).astype(np.int64)
+        for key in np.unique(ok):
+            oi[ok == key] = np.sort(oi[ok == key])
+        ob, nb = rng.integers(0, 4, (len(ok), 2)), rng.integers(0, 4, (30, 2))
+        nk, ni = np.sort(rng.integers(0, 9, 30)), rng.integers(0, 60 * many, 30)
+        agree = lambda a, b: 64 - bin((a[0] ^ b[0]) | (a[1] ^ b[1])).count("1")
+        want = [[int(o) for o, key, b in zip(oi, ok, ob) if key == k and o < i and agree(x, b) >= 63] for k, i, x in zip(nk, ni, nb)]
+        for most in (3, 10**9):
+            new_id, old_id, more = batch_dedup._window((nk, ni, nb), (ok, oi, ob), 63, most)
+            got = {}
+            for a, b, c in zip(new_id.tolist(), old_id.tolist(), more.tolist()):
+                got.setdefault(a, []).append((b, c))
+            for i, w in zip(ni.tolist(), want):
+                mine = [x for x in got.get(i, []) if x[0] in w]
+                assert [b for b, _ in mine] == w[:most] or len([x for x in ni if x == i]) > 1
+                assert len(w) <= most or mine[-1][1] or len([x for x in ni if x == i]) > 1
+
+
+def test_merging_pages_keeps_all_records_in_order(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    runs = []
+    for _ in range(3):
+        rows = sorted((int(p), int(k), int(i), 1, 2) for p, k, i in zip(rng.integers(0, 3, 30_000), rng.integers(-50, 50, 30_000), rng.integers(0, 10**6, 30_000)))
+        runs.append(rows)
+    frames = [batch_dedup._packed(spark.createDataFrame(r, "part int, key bigint, id bigint, b0 bigint, b1 bigint").coalesce(1)) for r in runs]
+    pages = frames[0].union(frames[1]).union(frames[2]).coalesce(1).sortWithinPartitions("part", "lo", "first")
+    got = []
+    for r in batch_dedup._merged(pages).collect():
+        keys, ids, _ = batch_dedup._records(r.keys, r.ids, r.bits)
+        assert len(keys) <= batch_dedup.PAGE_ROWS and (keys[0], keys[-1], ids[0]) == (r.lo, r.hi, r["first"])
+        got += [(r.part, k, i) for k, i in zip(keys.tolist(), ids.tolist())]
+    assert got == sorted(x[:3] for r in runs for x in r)
+
+
+def test_an_index_is_opened_again_without_the_texts_of_its_history(spark, tmp_path):
+    rows = [(i, t, None) for i, t in corpus(120, 17)]
+    schema = "id int, text string, hash string"
+    index = batch_dedup.HistoryIndex(spark, f"file://{tmp_path}/index", 3, 0.5, fan=2)
+    for at in range(0, 80, 20):  # four batches, compacted as they come
+        index.take(index.sketch(spark.createDataFrame(rows[at : at + 20], schema)))
+    assert len(index.runs) == 1 and len([p for p in (tmp_path / "index").iterdir() if p.is_dir()]) == 1
+    for r in index.runs:
+        spark.sql(f"drop table {r['name']}")  # as in another session, whose catalogue is empty
+    again = batch_dedup.HistoryIndex.open(spark, f"file://{tmp_path}/index")
+    assert (again.runs, again.tables) == (index.runs, index.tables)
+    new = again.sketch(spark.createDataFrame(rows[80:], schema))
+    found = {(r.old_id, r.new_id) for r in again.check(new).collect()}
+    text = {i: tuple(T.words_of(t)) for i, t, _ in rows}
+    truth = {p for p, o in overlaps([r[:2] for r in rows], 3, 0).items() if o >= 0.5 and p[1] > 80}
+    first = {p for p in truth if p[0] == min(j for j in text if text[j] == text[p[0]]) and p[1] == min(j for j in text if j > 80 and text[j] == text[p[1]])}
+    assert first and first <= found
+    assert again.reads[0]["runs"] == 1 and 0 < again.reads[0]["bytes"] <= index.runs[0]["bytes"]
+    few = again.sketch(spark.createDataFrame([(999, None, "ab")], schema))  # one hash: one range of 128 is read
+    again.check(few)
+    assert again.reads[1]["bytes"] < again.reads[0]["bytes"] / 20
+
+
+def test_a_family_of_near_copies_gives_few_candidates_and_loses_none(spark, monkeypatch):
+    base = [f"w{i}" for i in range(120)]
+    near = [(i, " ".join(base[:119] + [f"x{i}"]), None) for i in range(1, 101)]  # all alike
+    apart = [(200 + i, " ".join(base[:56] + [f"y{i}z{k}" for k in range(64)]), None) for i in range(60)]  # share less than half with them
+    new = [(300 + i, " ".join(base[:119] + [f"n{i}"]), None, 1) for i in range(40)]
+    schema = "id int, text string, hash string"
+    monkeypatch.setattr(batch_dedup, "FIRST", 2)
+    history = spark.createDataFrame(apart + near, schema)
+    got = {r.id_b: r.id_a for r in batch_dedup.repeats(history, spark.createDataFrame(new, schema + ", batch int"), 3, 0.5).collect()}
+    assert got == {300 + i: 1 for i in range(40)}
+
+
 def test_batches_of_odd_rows(spark):
     schema = "id int, text string, hash string"
     history = spark.createDataFrame([(1, None, None), (2, "", "AA"), (3, "a b c d", " sha256:bb "), (None, "a b c d", "cc")], schema)
