@@ -7,8 +7,8 @@ and the key space is cut into ranges that are the same for all runs.  A batch is
 own; then its pages are merged with those pages of each run whose ranges and limits meet theirs.  The window around a new record
 is the stretch of older records with its whole key; they lie in the order of their ids there, and are compared through a sketch
 of 64 two-bit values.  Nothing of a run is shuffled, sorted or rewritten for a batch, ranges without a new key aren't read, and
-the texts of the history aren't needed but for the candidates.  Runs are compacted by tiers: as soon as ``fan`` runs of one tier
-stand, they are merged into one of the next, so that a record is rewritten a logarithmic number of times.
+the texts of the history aren't needed but for the candidates.  Runs are compacted by tiers of size: as soon as ``fan`` runs of
+one tier stand, they are merged, so that a record is rewritten a logarithmic number of times and a small batch moves no large run.
 
 A window gives its first candidates only, as the smallest id is asked for.  Where they all fail the exact comparison, or one of
 another window with a smaller id might be missing, the window is read again in full, so nothing is lost; a family of
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from .. import scratch
 from ..scratch import written
@@ -285,13 +285,18 @@ class HistoryIndex:
             )
         return self.spark.table(run["name"])
 
-    def _write_run(self, pages: DataFrame, tier: int) -> dict:
-        run = {"name": f"run_{uuid.uuid4().hex}", "tier": tier}
+    def _write_run(self, pages: DataFrame) -> dict:
+        """The run's name, bytes, parts that hold records (bits of 32, noted while they are written), and its tier by its size."""
+        run = {"name": f"run_{uuid.uuid4().hex}"}
         path = f"{self.path}/{run['name']}"
-        out = pages.write.bucketBy(self.buckets, "part").sortBy("part", "lo", "first").option("path", path).option("compression", "zstd")
-        out.saveAsTable(run["name"])
-        run["bytes"] = scratch.size_of(self.spark, path)
-        return run
+        seen = Observation()
+        bit = F.expr("shiftleft(1L, part % 32)")
+        masks = [F.bit_or(F.when(F.floor(F.col("part") / 32) == w, bit).otherwise(0)).alias(str(w)) for w in range(max(1, self.ranges // 16))]
+        out = pages.observe(seen, *masks).write.bucketBy(self.buckets, "part").sortBy("part", "lo", "first")
+        out.option("path", path).option("compression", "zstd").saveAsTable(run["name"])
+        parts = [32 * int(w) + k for w, mask in seen.get.items() for k in range(32) if (mask or 0) >> k & 1]
+        size = scratch.size_of(self.spark, path)
+        return run | {"bytes": size, "parts": parts, "tier": max(0, math.ceil(math.log(max(1, size) / 2**20, self.fan)))}
 
     def sketch(self, df: DataFrame) -> DataFrame:
         """id, tag (as given, else 0), copy (hash of the word sequence, null without one), bit sketch, keys, hash."""
@@ -318,7 +323,7 @@ class HistoryIndex:
 
     def take(self, sketch: DataFrame) -> None:
         """Takes accepted records in as one run, without a comparison."""
-        self.runs.append(self._write_run(self._sorted(sketch), 0))
+        self.runs.append(self._write_run(self._sorted(sketch)))
         self._save()
         self.compact()
 
@@ -328,10 +333,10 @@ class HistoryIndex:
         new_id is the first row of the batch with its text (kind 0) or hash (kind 1).  The batch becomes a run.
         """
         before = [*self.runs]
-        run = self._write_run(self._sorted(sketch), 0)
+        run = self._write_run(self._sorted(sketch))
         self.runs.append(run)
         batch = self._pages(run)
-        parts = [r[0] for r in batch.select("part").distinct().collect()]  # at most two for each range
+        parts = run["parts"]  # at most two for each range
         found = None
         for r in self.runs:
             old = self._pages(r)
@@ -346,7 +351,7 @@ class HistoryIndex:
         return found
 
     def compact(self) -> None:
-        """While ``fan`` runs of one tier stand, they are merged into one of the next tier."""
+        """While ``fan`` runs of one tier (sizes within a factor of ``fan``) stand, they are merged into one."""
         while True:
             tiers: dict[int, list[dict]] = {}
             for r in self.runs:
@@ -358,7 +363,7 @@ class HistoryIndex:
             for r in tiers[full][1:]:
                 pages = pages.union(self._pages(r))
             pages = pages.repartition(self.buckets, "part").sortWithinPartitions("part", "lo", "first")
-            whole = self._write_run(_merged(pages), full + 1)
+            whole = self._write_run(_merged(pages))
             self.runs = [r for r in self.runs if r["tier"] != full] + [whole]
             self._save(tiers[full])
 
@@ -383,7 +388,7 @@ class HistoryIndex:
         if open_.isEmpty():
             return near
         rows = new.join(open_.select(F.col("id_b").alias("id")), "id", "left_semi")
-        name = self._write_run(self._sorted(rows.withColumn("hash", F.lit(None).cast("string"))), 0)
+        name = self._write_run(self._sorted(rows.withColumn("hash", F.lit(None).cast("string"))))
         again = None
         for r in self.runs:
             hit = _neighbours(self._pages(name), self._pages(r), self.ranges, self.least, 1 << 62)
