@@ -19,8 +19,8 @@ def whole():
 @given(st.text(st.sampled_from("ab 'st\n\t1٣لا é😀.!<|"), max_size=80))
 @settings(max_examples=150, deadline=None)
 def test_encoding_round_trip(x):
-    (ids,) = encode.encode_texts([x])
-    assert encode.decode(list(ids)) == x
+    ids = encode.ids_of(x, chunk=9, overlap=4)
+    assert encode.decode(ids) == x and ids == encode.encoding().encode_ordinary(x)
 
 
 @pytest.mark.parametrize("chunk, overlap", [(64, 16), (200, 64), (1 << 17, 1 << 11)])
@@ -36,6 +36,19 @@ def test_chunks_give_the_ids_of_whole_texts(spark, whole, chunk, overlap):
         encode.encode(df, "doc_id", "text", chunk=10, overlap=5)
 
 
+def test_runs_longer_than_the_overlap_are_joined():
+    texts = ["x" * 5000, "ab " * 40 + "x" * 3000 + " end'll " * 30, " " * 4000 + "z", ("y" * 70 + " ") * 40, "1" * 64 + "a" * 64]
+    for t in texts:
+        for chunk, overlap in ((9, 4), (64, 16), (65, 32)):
+            assert sum(encode.pre_tokens(t, chunk, overlap), []) == encode.SPLIT.findall(t)
+
+
+def test_chunks_by_threads(monkeypatch):
+    monkeypatch.setattr(encode, "MANY", 8)
+    t = "don't stop, 12 words of it... " * 400
+    assert sum(encode.pre_tokens(t, 64, 16), []) == encode.SPLIT.findall(t)
+
+
 def test_apportionment():
     def seats(targets, n):  # the highest quotients target / (2 seats + 1)
         got = dict.fromkeys(targets, 0)
