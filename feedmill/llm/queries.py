@@ -86,7 +86,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics of each document."""
-    return quality.statistics(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return quality.statistics(_read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

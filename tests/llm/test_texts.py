@@ -117,6 +117,42 @@ KINDS = [
 ]
 
 
+# prose in the languages of the corpus and in others, of whose words none is common
+PROSE = [
+    "The gateway was slow on Monday. We measured it again, and it is faster now.", "Die Sitzung war gestern zu lang. Wir haben sie geteilt, und das hilft.",
+    "Le service est lent depuis lundi. Nous avons mesuré, et il est plus rapide.", "El servicio fue lento ayer. Lo medimos otra vez y ahora es más rápido.",
+    "O serviço ficou lento ontem. Medimos de novo e agora está mais rápido.", "كانت الخدمة بطيئة أمس. قسناها مرة أخرى وهي الآن أسرع.", "سرویس دیروز کند بود. دوباره اندازه گرفتیم و اکنون سریع‌تر است.",
+    "Usługa była wczoraj powolna. Zmierzyliśmy ją ponownie i teraz jest szybsza.", "Палвелу вчера была медленной. Мы измерили её снова, и теперь она быстрее.",
+    "昨日のサービスは遅かったです。もう一度測定したところ、今は速くなっています。" * 3, "昨天服务很慢。我们又测量了一次，现在快多了。" * 4, "เมื่อวานบริการช้ามาก เราวัดอีกครั้งและตอนนี้เร็วขึ้นแล้ว" * 3,
+]
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_of_any_language_stays_prose(text):
+    assert quality.kind_of(quality.measure(text, frozenset())) == "prose"
+
+
+@pytest.mark.parametrize("text", ["xqz blortw nuhx jqpn oie cezi htwn vqhq cdj", "FÃ¼r die Ãœbersetzung Ã¤ndert sich nichts. Das war schÃ¶n.", "Zm9vYmFyYmF6cXV4" * 9])
+def test_strings_of_no_language_are_junk(text):
+    assert quality.kind_of(quality.measure(text, frozenset(["die", "das", "sich", "war", "nichts"]))) == "junk"
+
+
+def test_each_signal_of_the_layout_can_decide():
+    base = quality.measure("one two three.\nfour five\nsix seven\neight nine ten\neleven twelve\nfour six", frozenset("one two three four five six seven eight nine ten eleven twelve".split()))
+    kind = lambda **over: quality.kind_of(base | over)
+    # indentation: between prose and list
+    assert kind(sentences_per_line=0.35, indent_period=0.0, length_autocorrelation=0.0) == "prose"
+    assert kind(sentences_per_line=0.35, indent_period=0.6, length_autocorrelation=0.0) == "list"
+    # autocorrelation of line lengths: wrapped prose against list, rows against lines
+    assert kind(sentences_per_line=0.15, indent_period=0.0, length_autocorrelation=0.0) == "list"
+    assert kind(sentences_per_line=0.15, indent_period=0.0, length_autocorrelation=0.9) == "prose"
+    assert kind(sentences_per_line=0.3, aligned_lines=0.55, delimiter="gap", length_autocorrelation=0.0) == "prose"
+    assert kind(sentences_per_line=0.3, aligned_lines=0.55, delimiter="gap", length_autocorrelation=0.8) == "table"
+    # alignment
+    assert kind(sentences_per_line=0.3, aligned_lines=0.9, delimiter="gap") == "table"
+    assert kind(sentences_per_line=0.34, aligned_lines=0.0) == "prose"
+
+
 @pytest.mark.parametrize("text, kind", KINDS)
 def test_kinds(text, kind):
     common = frozenset("one two three four thing things intro alpha beta gamma delta epsilon zeta omega sigma a b c d name size tok the is small we like it and of end near short text".split())
