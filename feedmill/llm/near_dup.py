@@ -29,7 +29,7 @@ def covering_masks() -> list[list[int]]:
     return [[i - 1 for i in range(1, 8) if bin(i & v).count("1") % 2] for v in range(1, 8)]
 
 
-def groups_for(threshold: float, miss: float = 0.02) -> int:
+def groups_for(threshold: float, miss: float = 0.005) -> int:
     """The number of groups of seven values with which a pair exactly at ``threshold`` is missed with probability ``miss``."""
     differ = [math.comb(7, k) * (1 - threshold) ** k * threshold ** (7 - k) for k in range(8)]
     hit = differ[0] + differ[1] + differ[2] + differ[3] / 5  # 7 of the 35 sets of three places are lines
@@ -111,62 +111,105 @@ def _within(ids: np.ndarray, bits: np.ndarray, pairs: np.ndarray, least: int) ->
     return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
-def _collisions(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a partition of (key, id, b0, b1); a key with more than BLOCK rows goes out whole, as (key, null)."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    key, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
-    bits = np.stack([table.column("b0").to_numpy(), table.column("b1").to_numpy()], axis=1).view(np.uint64)
-    del parts, table
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    length = np.diff(np.r_[start, len(key)])
-    found, hot = [], key[start[length > BLOCK]]
-    for n in np.unique(length[(length > 1) & (length <= BLOCK)]):
-        at = start[length == n]
-        i, j = np.triu_indices(n, 1)
-        step = max(1, 2_000_000 // len(i))
-        for k in range(0, len(at), step):
-            s = at[k : k + step, None]
-            pairs = np.stack([order[(s + i).ravel()], order[(s + j).ravel()]], axis=1)
-            found.append(_within(ids, bits, pairs, least))
-    got = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.r_[got[:, 0], hot]), pa.array(np.r_[got[:, 1], np.zeros(len(hot), np.int64)], mask=np.r_[np.zeros(len(got), bool), np.ones(len(hot), bool)])], names=["id_a", "id_b"]
-    )
-
-
-def _blocks(keys: DataFrame, hot: DataFrame, least: int) -> DataFrame:
+def _cells(ids: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> Iterator[np.ndarray]:
+    """Id pairs, smaller first, of the places ``left`` with the places ``right`` whose sketches agree, in tiles of bounded size."""
+    for k in range(0, len(left), 256):
+        i, j = (x.ravel() for x in np.meshgrid(left[k : k + 256], right, indexing="ij"))
+        pairs = np.stack([i, j], axis=1)[ids[i] != ids[j]]
+        if len(pairs):
+            yield _within(ids, bits, pairs, least)
+
+
+def _batch(pairs: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    empty = np.r_[np.zeros(len(pairs), bool), np.ones(len(hot), bool)]
+    a, b = np.r_[pairs[:, 0], hot], np.r_[pairs[:, 1], np.zeros(len(hot), np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=empty)], names=["id_a", "id_b"])
+
+
+def _collisions(batches: Iterator[pa.RecordBatch], least: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of rows (key, id, b0, b1) that lie in the order of their keys; a key with more than ``block`` rows goes out whole, as (key, null).
+
+    The rows are streamed: no more than a batch and one group, of ``block`` rows at most, are held; a group beyond that is skipped.
+    """
+    columns = ("key", "id", "b0", "b1")
+    held = [np.empty(0, np.int64)] * 4
+    passing = None  # the hot key whose rows are going by
+    none = np.empty(0, np.int64)
+
+    def solved(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, ids = rows[0], rows[1]
+        if not len(key):
+            return
+        bits = np.stack(rows[2:], axis=1).view(np.uint64)
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        length = np.diff(np.r_[start, len(key)])
+        found = []
+        for n in np.unique(length[(length > 1) & (length <= block)]):
+            at = start[length == n]
+            i, j = np.triu_indices(n, 1)
+            for k in range(0, len(at), step := max(1, 1_000_000 // len(i))):
+                s = at[k : k + step, None]
+                found.append(_within(ids, bits, np.stack([(s + i).ravel(), (s + j).ravel()], axis=1), least))
+        got = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        yield _batch(got, key[start[length > block]])
+
+    for b in batches:
+        rows = [b.column(c).to_numpy() for c in columns]
+        if passing is not None:
+            keep = rows[0] != passing
+            rows = [x[keep] for x in rows]
+        rows = [np.concatenate([h, x]) for h, x in zip(held, rows)]
+        if not len(rows[0]):
+            continue
+        passing = None
+        last = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # its group may go on in the next batch
+        yield from solved([x[:last] for x in rows])
+        held = [x[last:] for x in rows]
+        if len(held[0]) > block:
+            passing = held[0][0]
+            yield _batch(np.empty((0, 2), np.int64), held[0][:1])
+            held = [none] * 4
+    yield from solved(held)
+
+
+def _blocks(keys: DataFrame, hot: DataFrame, least: int, width: int) -> DataFrame:
     """Candidate pairs of the hot keys: rows go to blocks by a hash, and each pair of blocks is a task's group of its own."""
     rows = keys.join(hot, "key", "left_semi")
-    size = rows.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("n"))
+    size = rows.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / width)).alias("n"))
     rows = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("id"), "n"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     rows = rows.select("key", "id", "b0", "b1", "block", other)
     rows = rows.select("key", "id", "b0", "b1", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).to_pandas()
-        for (_, lo, hi), g in t.groupby(["key", "lo", "hi"], sort=False):
-            ids, bits, block = g["id"].to_numpy(), g[["b0", "b1"]].to_numpy().view(np.uint64), g["block"].to_numpy()
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            for i in left:
-                js = right[ids[right] > ids[i]] if lo == hi else right
-                if len(js):
-                    p = _within(ids, bits, np.stack([np.full(len(js), i), js], axis=1), least)
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["id_a", "id_b"])
+        held, cell = [], None
 
-    return rows.repartition("key", "lo", "hi").mapInArrow(run, "id_a bigint, id_b bigint")
+        def solved() -> Iterator[pa.RecordBatch]:
+            ids, b0, b1, block = (np.concatenate(x) for x in zip(*held))
+            bits = np.stack([b0, b1], axis=1).view(np.uint64)
+            left, right = np.flatnonzero(block == cell[1]), np.flatnonzero(block == cell[2])
+            for found in _cells(ids, bits, left, right, least):
+                yield _batch(found, np.empty(0, np.int64))
 
-
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
+        for b in batches:
+            of = np.stack([b.column(c).to_numpy() for c in ("key", "lo", "hi")], axis=1)
+            values = [b.column(c).to_numpy() for c in ("id", "b0", "b1", "block")]
+            ends = np.r_[np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1, len(of)] if len(of) else []
+            at = 0
+            for end in ends:
+                if cell is not None and tuple(of[at]) != cell:
+                    yield from solved()
+                    held = []
+                cell = tuple(of[at])
+                held.append([v[at:end] for v in values])
+                at = end
+        if held:
+            yield from solved()
+
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "id_a bigint, id_b bigint")
+
+
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, min_words: int = 0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Pairs of similar distinct texts, and the members of each class of exact copies.
 
     Returns (pairs, copies): ``pairs`` (id_a, id_b, overlap), id_a < id_b, between the rows with the smallest id of their
@@ -182,11 +225,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     copies = written(sketch.select("copy", "id").join(classes, "copy").where("id <> rep").select("rep", "id").distinct(), "copies")
     reps = sketch.join(copies.select("id"), "id", "left_anti")
     keys = reps.select(F.explode("keys").alias("key"), "id", "b0", "b1")
-    raw = written(keys.repartition("key").mapInArrow(lambda it: _collisions(it, least), "id_a bigint, id_b bigint"), "candidates")
+    raw = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _collisions(it, least, block), "id_a bigint, id_b bigint"), "candidates")
     hot = raw.where("id_b is null").select(F.col("id_a").alias("key")).distinct()
     found = raw.where("id_b is not null")
     if not raw.where("id_b is null").isEmpty():
-        found = found.union(_blocks(keys, hot, least))
+        found = found.union(_blocks(keys, hot, least, block))
     close = written(likely(found.where("id_a < id_b").distinct(), sketch, threshold).distinct(), "likely")
     pairs = verified(close, texts, words, threshold)
     return pairs.groupBy("id_a", "id_b").agg(F.max("overlap").alias("overlap")), copies  # one row, even where ids repeat

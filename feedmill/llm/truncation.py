@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..scratch import written
@@ -62,8 +63,8 @@ def look(text: str) -> tuple[bool, bool, bool, str, str]:
     """(whole, sure, prose, token, line) of the end of a value.
 
     whole: it has a proper end.  sure: a sign or open markup shows the cut.  Else prose: the last line breaks off within a
-    sentence; token: the last run of letters if nothing follows it; line: the letters of the last line in lower case, unless
-    it is long.
+    sentence; token: the last run of letters if nothing follows it; line: 128 bits that stand for the letters of the last line
+    in lower case ('' for a line without letters).
     """
     text = text.rstrip()
     if not text:
@@ -76,7 +77,8 @@ def look(text: str) -> tuple[bool, bool, bool, str, str]:
         return False, True, False, "", ""
     line = plain.rsplit("\n", 1)[-1]
     words = WORD.findall(line)
-    letters = "".join(w for w in words if not w.isdigit()).lower() if len(words) <= 16 else ""
+    letters = "".join(w for w in words if not w.isdigit()).lower()
+    letters = letters and xxhash.xxh3_128_hexdigest(letters)
     if not plain or END.search(plain):
         return True, False, False, "", letters
     item = bool(ITEM.match(line) or HEADING.match(line))
@@ -124,12 +126,22 @@ def _pass(values: DataFrame) -> DataFrame:
     return values.mapInArrow(run, SCHEMA)
 
 
-def trie(words: DataFrame, least: int = 3) -> DataFrame:
-    """(node, ends, goes_on): each prefix of the words that at least ``least`` values hold, with the counts of words ending and going on there."""
-    known = words.where((F.col("n") >= least) & (F.length("word") <= 64))
-    nodes = known.select(F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k"), "word", "n")
+def trie(words: DataFrame, tokens: DataFrame, least: int = 3, depth: int = 64) -> DataFrame:
+    """(node, ends, goes_on) of the tokens (node): how often words that ``least`` values or more hold end and go on there.
+
+    The prefixes of up to ``depth`` letters are the nodes of a table; a longer token is looked for among the words that share
+    its first ``depth`` letters.
+    """
+    known = words.where(F.col("n") >= least)
+    nodes = known.select(F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(depth)))).alias("k"), "word", "n")
     nodes = nodes.select(F.expr("substring(word, 1, k)").alias("node"), (F.col("k") == F.length("word")).alias("last"), "n")
-    return nodes.groupBy("node").agg(F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(~F.col("last"), F.col("n")).otherwise(0)).alias("goes_on"))
+    nodes = nodes.join(tokens.where(F.length("node") <= depth), "node", "left_semi")
+    head = lambda c: F.substring(c, 1, depth)
+    long_tokens = tokens.where(F.length("node") > depth).select("node", head("node").alias("head"))
+    beyond = known.where(F.length("word") > depth).select("word", "n", head("word").alias("head")).join(long_tokens, "head")
+    beyond = beyond.where(F.startswith("word", "node")).select("node", (F.col("word") == F.col("node")).alias("last"), "n")
+    ends, goes_on = F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)), F.sum(F.when(~F.col("last"), F.col("n")).otherwise(0))
+    return nodes.union(beyond).groupBy("node").agg(ends.alias("ends"), goes_on.alias("goes_on"))
 
 
 def _spikes(ends: DataFrame, unit: str, least: int) -> DataFrame:
@@ -152,13 +164,16 @@ def truncated(df: DataFrame, id_col: str, source_col: str, fields: list[str], sp
     ends = seen.where("kind = 'end'")
     words = seen.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"))
     tokens = ends.where("token <> ''").select(F.col("token").alias("node")).distinct()
-    nodes = trie(words).join(tokens, "node", "left_semi")
+    nodes = trie(words, tokens)
     cut_word = nodes.where("ends = 0 and goes_on > 0").select(F.col("node").alias("token"), F.lit(True).alias("cut_word"))
     lines = seen.where("kind = 'line'").groupBy("source", "field", "line").agg(F.sum("n").alias("same"))
     sizes = lines.where("line is null").select("source", "field", F.col("same").alias("size"))
     lines = lines.where(F.col("line").isNotNull() & (F.col("same") >= repeated))
     closing = lines.join(sizes, lines.source.eqNullSafe(sizes.source) & (lines.field == sizes.field)).select(lines["*"], "size")
     closing = closing.where(F.col("same") >= share * F.col("size")).withColumn("firm", F.col("same") >= firm * F.col("size"))
+    # values without a token or a line get keys of their own, which nothing has, so that they don't gather in one task
+    alone = lambda c: F.when(F.col(c) == "", F.concat(F.lit("\0"), F.coalesce(F.col("id").cast("string"), F.lit("")))).otherwise(F.col(c))
+    ends = ends.withColumns({"token": alone("token"), "line": alone("line")})
     out = ends.join(cut_word, "token", "left").join(_spikes(ends, "chars", spike), ["field", "chars"], "left").join(_spikes(ends, "bytes", spike), ["field", "bytes"], "left")
     out = out.join(closing, (out.source.eqNullSafe(closing.source)) & (out.field == closing.field) & (out.line == closing.line), "left").select(out["*"], "firm", "cut_word", "at_chars", "at_bytes")
     shown = F.coalesce("cut_word", "at_chars", "at_bytes", F.lit(False))

@@ -82,13 +82,34 @@ def test_pairs_against_brute_force(spark, words, threshold, least):
     assert groups == {i: root(i) for i in parent if any(i in p for p in full)}
 
 
-def test_hot_keys_are_split_into_blocks(spark, monkeypatch):
+def test_collisions_are_streamed_group_by_group():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n = 3000
+    key = np.sort(np.r_[rng.integers(0, 900, n - 300), np.full(300, 400)])
+    ids, bits = rng.permutation(n).astype(np.int64), rng.integers(-4, 4, (n, 2))
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["key", "id", "b0", "b1"])
+    agree = lambda i, j: 64 - bin(int((bits[i, 0] ^ bits[j, 0]) | (bits[i, 1] ^ bits[j, 1])) & (2**64 - 1)).count("1")
+    want = set()
+    for k in np.unique(key):
+        at = np.flatnonzero(key == k)
+        if len(at) <= 100:
+            want |= {(min(ids[i], ids[j]), max(ids[i], ids[j])) for x, i in enumerate(at) for j in at[x + 1 :] if agree(int(i), int(j)) >= 62}
+    for size in (7, 64, 500, n):
+        got, hot = set(), []
+        for b in near_dup._collisions((rows.slice(k, size) for k in range(0, n, size)), 62, 100):
+            for a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                hot.append(a) if c is None else got.add((a, c))
+        assert got == want and set(hot) == {400}
+
+
+def test_hot_keys_are_split_into_blocks(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:199] + [f"x{i}"])) for i in range(40)] + [(100 + i, f"copy {' '.join(base[:50])}") for i in range(60)]
     df = spark.createDataFrame(rows, "id int, body string")
     want = near_dup.near_duplicates(df, "id", "body")[0].count()
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
-    pairs, copies = near_dup.near_duplicates(df, "id", "body")
+    pairs, copies = near_dup.near_duplicates(df, "id", "body", block=8)
     assert pairs.count() == want == 40 * 39 // 2 and copies.count() == 59
 
 

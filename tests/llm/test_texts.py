@@ -236,6 +236,15 @@ def test_truncated(spark):
     assert truncation.truncated(df.limit(0), "id", "src", ["body"]).count() == 0
 
 
+def test_long_notices_and_long_words(spark):
+    word = "".join(random.Random(1).choice("abcdefgh") for _ in range(150))
+    notice = "this long legal notice without a stop at its end stands below each and every item of the site and has more than sixteen words"
+    rows = [(i, "s", f"Item {i} has a body that is whole.\n{notice}", None) for i in range(40)] + [(100 + i, "s", f"The {word} stands here.", None) for i in range(4)]
+    rows += [(200, "s", f"- {word[:90]}", None), (201, "s", f"- {word[:60]}", None), (202, "s", f"- {word}", None)]
+    df = spark.createDataFrame(rows, "id int, src string, body string, other string")
+    assert {r.id for r in truncation.truncated(df, "id", "src", ["body", "other"]).collect()} == {200, 201}
+
+
 def test_cut_values_of_a_large_source(spark):
     rng = random.Random(12)
     words = [a + b for a in ("stand", "mark", "print", "learn", "count") for b in ("ing", "er", "able", "ful")]
