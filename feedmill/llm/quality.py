@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..scratch import written
+
 LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 DIGITS = re.compile(r"\d+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -70,7 +72,7 @@ def common_words(texts: DataFrame, text_col: str, lang_col: str | None = None, s
         yield sent()
 
     counted = texts.select(F.col(text_col).alias("text"), lang.alias("lang")).mapInArrow(run, "lang string, word string, n bigint")
-    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("word is null or n >= 3")
+    counted = written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("word is null or n >= 3"), "word-counts")
     sizes = counted.where("word is null").select(F.coalesce("lang", F.lit("")).alias("of"), F.col("n").alias("size"))
     found = counted.where("word is not null").withColumn("of", F.coalesce("lang", F.lit(""))).join(sizes, "of")
     found = found.select("word", (F.col("n") / F.col("size")).alias("part")).where(F.col("part") >= share)
