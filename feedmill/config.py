@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -26,6 +27,20 @@ def whole(text: str | None, default: int, least: int = 1) -> int:
     return int(n) if n == n and least <= n < 2**63 else default
 
 
+def provider(env: Mapping[str, str]) -> tuple[str, bool]:
+    """(kind of model service, usable): the one that is named, else 'openai' for a base address, 'anthropic' for its key, or 'none'.
+
+    An address needs names of models for both tasks, and a key unless it is local; the other kind needs its key.
+    """
+    has = lambda key: (env.get(f"FEEDMILL_MODEL_{key}") or "").strip()
+    kind = has("PROVIDER") or ("openai" if has("BASE_URL") else "anthropic" if has("DIRECT_KEY") else "none")
+    if kind == "openai":
+        local = re.search(r"localhost|127\.0\.0\.1", has("BASE_URL"))
+        models = [has(f"NAME_{task}") or has("NAME") for task in ("CLASSIFY", "SUMMARIZE")]
+        return kind, bool(has("BASE_URL") and all(models) and (has("KEY") or local))
+    return kind, kind == "anthropic" and bool(has("DIRECT_KEY"))
+
+
 @dataclass(frozen=True)
 class Settings:
     max_items_per_source: int = 15
@@ -34,6 +49,9 @@ class Settings:
     user_agent: str = "feedmill"
     model_budget: int = 0
     model_attempts: int = 4
+    model_pause_seconds: float = 0.0
+    provider: str = "none"
+    model_usable: bool = False
     retention: Mapping[str, int] = field(default_factory=lambda: {"junk": 14, "low": 60, "medium": 180, "high": 365})
     safety_cap: int = 5000
 
@@ -41,9 +59,12 @@ class Settings:
     def from_environment(cls, env: Mapping[str, str] | None = None) -> Settings:
         e, d = os.environ if env is None else env, cls()
         days = {k: whole(e.get(f"FEEDMILL_RETAIN_{k.upper()}_DAYS"), v) for k, v in d.retention.items()}
+        kind, usable = provider(e)
+        pause = whole(e.get("FEEDMILL_MODEL_PAUSE_MS"), 0, 0) / 1000
         return cls(
             whole(e.get("FEEDMILL_MAX_ITEMS"), d.max_items_per_source), whole(e.get("FEEDMILL_TIMEOUT_MS"), int(d.timeout_seconds * 1000)) / 1000, flag(e.get("FEEDMILL_ROBOTS"), d.respect_robots),
-            e.get("FEEDMILL_USER_AGENT") or d.user_agent, whole(e.get("FEEDMILL_MODEL_BUDGET"), d.model_budget, 0), whole(e.get("FEEDMILL_MODEL_ATTEMPTS"), d.model_attempts), days, whole(e.get("FEEDMILL_SAFETY_CAP"), d.safety_cap),
+            e.get("FEEDMILL_USER_AGENT") or d.user_agent, whole(e.get("FEEDMILL_MODEL_BUDGET"), d.model_budget, 0), whole(e.get("FEEDMILL_MODEL_ATTEMPTS"), d.model_attempts),
+            pause, kind, usable, days, whole(e.get("FEEDMILL_SAFETY_CAP"), d.safety_cap),
         )
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from .text import ASCII_B, WHITE, contentless_body, trim
+from .text import WHITE, contentless_body, trim
 
 # The category rules, the first that matches wins; \b is an ASCII boundary.
 CATEGORY_RULES = [
@@ -28,19 +33,33 @@ IMPACT_RULES = [
     ("medium", r"\b(?:new feature|update|improv|expand|support for|now available|sdk|api)"),
 ]
 # Tags that are looked for first, in this order.
-KNOWN_TAGS = (
-    "gpt-4 gpt-5 gpt o1 o3 claude opus sonnet haiku gemini llama mistral deepseek grok copilot cursor replit api sdk pricing security model agent agents mcp embeddings vision "
-    "reasoning fine-tuning finetuning rag function-calling tool-use multimodal voice audio image video deprecation beta ga"
-).split()
+KNOWN_TAGS = [
+    "gpt-4", "gpt-5", "gpt", "o1", "o3", "claude", "opus", "sonnet", "haiku", "gemini", "llama", "mistral", "deepseek",
+    "grok", "copilot", "cursor", "replit", "api", "sdk", "pricing", "security", "model", "agent", "agents", "mcp",
+    "embeddings", "vision", "reasoning", "fine-tuning", "finetuning", "rag", "function-calling", "tool-use", "multimodal",
+    "voice", "audio", "image", "video", "deprecation", "beta", "ga",
+]
 # Words that make no tag.
-STOPWORDS = "the a an and or to of in on for with is are now new our we you your this that from by at as it its has have will can all more how what why".split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "to", "of", "in", "on", "for", "with", "is", "are", "now", "new", "our", "we", "you",
+    "your", "this", "that", "from", "by", "at", "as", "it", "its", "has", "have", "will", "can", "all", "more", "how",
+    "what", "why",
+]
 # Words and package endings that add nothing to a version.
-RELEASE_WORDS = "release releases cli sdk ui core version build pre rc alpha beta preview nightly dev stable patch hotfix final".split()
-PACKAGE_ENDINGS = "sdk cli js ts py api ui core server client node express hono fastify".split()
+RELEASE_WORDS = [
+    "release", "releases", "cli", "sdk", "ui", "core", "version", "build", "pre", "rc", "alpha", "beta", "preview",
+    "nightly", "dev", "stable", "patch", "hotfix", "final",
+]
+PACKAGE_ENDINGS = [
+    "sdk", "cli", "js", "ts", "py", "api", "ui", "core", "server", "client", "node", "express", "hono", "fastify",
+]
 
 
 def _boundaries(pattern: str) -> str:
-    return "(?i)" + pattern.replace(r"\b", ASCII_B)
+    """Each boundary as what it means where it stands: nothing of a word before a word's first letter, or after its last one."""
+    before, after = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+    pattern = re.sub(r"(^|[|:(])\\b", lambda m: m[1] + before, pattern)
+    return "(?i)" + pattern.replace(r"\b", after)
 
 
 def _first_match(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
@@ -59,23 +78,27 @@ def impact(text: Column) -> Column:
     return _first_match(text, IMPACT_RULES, "low")
 
 
-def tags(text: Column, most: int = 6) -> Column:
-    """At most ``most`` tags: known ones that the text contains, in their order, then its most frequent words, earlier ones first."""
-    low = F.lower(text)
-    known = F.filter(F.array(*map(F.lit, KNOWN_TAGS)), lambda t: F.contains(low, t))
-    words = F.filter(F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9+.-]{2,}"), F.lit(0)), lambda w: ~w.isin(STOPWORDS))
-    # sorted once, equal words lie side by side: runs are counted without comparing each word with all others
-    at = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    empty = F.array().cast("array<struct<n:int,i:int,w:string>>")
-    zero = F.struct(empty.alias("done"), F.lit("").alias("w"), F.lit(0).alias("i"), F.lit(0).alias("n"))
-    keep = lambda s: F.when(s["n"] == 0, s["done"]).otherwise(F.slice(F.array_sort(F.concat(s["done"], F.array(F.struct((-s["n"]).alias("n"), s["i"].alias("i"), s["w"].alias("w"))))), 1, 2 * most))
+TAG_WORD = re.compile(r"[a-z][a-z0-9+.-]{2,}")
+
+
+def tags_of(text: str | None, most: int = 6) -> list[str] | None:
+    """At most ``most`` tags of a lower-case text: known ones that it contains, in their order, then its most frequent words, earlier
+    ones first; null for null."""
+    if text is None:
+        return None
+    known = [t for t in KNOWN_TAGS if t in text]
+    words = Counter(w for w in TAG_WORD.findall(text) if w not in STOPWORDS)  # in the order of their first places
+    rest = heapq.nsmallest(most + len(known), ((-n, i, w) for i, (w, n) in enumerate(words.items())))
+    return list(dict.fromkeys([*known, *(w for _, _, w in rest)]))[:most]
+
+
+def _tag_series(texts: pd.Series) -> pd.Series:
+    return texts.map(tags_of)
 
-    def step(s, x):
-        same = s["w"] == x["w"]
-        return F.when(same, F.struct(s["done"].alias("done"), s["w"].alias("w"), s["i"].alias("i"), (s["n"] + 1).alias("n"))).otherwise(F.struct(keep(s).alias("done"), x["w"].alias("w"), x["i"].alias("i"), F.lit(1).alias("n")))
 
-    top = F.transform(F.aggregate(at, zero, step, keep), lambda x: x["w"])
-    return F.slice(F.array_distinct(F.concat(known, top)), 1, most)
+def tags(text: Column) -> Column:
+    """``tags_of`` as a column, in Arrow batches: counting words needs a table of its own for each text."""
+    return F.pandas_udf(_tag_series, "array<string>")(F.lower(text))
 
 
 def is_version_title(title: Column) -> Column:

@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# What counts as white space, and the boundary of an ASCII word, in the dialect whose results are kept.
+# Fixed value: what counts as white space in the dialect whose results are kept.
 WHITE = r"[\t\n\x0B\f\r    -     　﻿]"
-ASCII_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..scratch import written
 
+COUNTS = ["sources_checked", "items_found", "items_inserted", "items_skipped", "errors"]
 SOURCE_DEFAULTS = {"priority": 100, "crawl_interval_minutes": 60, "active": True}
 SOURCE_FIELDS = ["company", "product", "source_type", "official_domain", "priority", "crawl_interval_minutes", "active", "extra"]
 
@@ -73,11 +74,16 @@ def insert_new(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def first_seen(new: DataFrame, order: tuple[str, ...] = ("source_rank", "entry_pos")) -> DataFrame:
-    """One row per content_hash, the earliest in arrival order; by pre-aggregated minima, so repeats of one hash make no large group."""
-    rows = new.where(F.col("content_hash").isNotNull())
-    heads = rows.groupBy("content_hash").agg(F.min(F.struct(*order)).alias("_first"))
-    first = rows.join(heads, "content_hash").where(F.struct(*order) == F.col("_first")).drop("_first")
-    return first.dropDuplicates(["content_hash"])
+    """One row per content_hash, the earliest in arrival order; rows without a hash are left out.
+
+    The earliest row is kept while the rows are aggregated, before the shuffle as after it, so repeats of one hash make no large
+    group and what the rows are computed from is computed once.
+    """
+    names = new.columns
+    first = F.min_by(F.struct(*names), F.struct(*order)).alias("_row")
+    # counted, as a filter on the hash itself would be pushed below it and compute it again
+    rows = new.groupBy(F.col("content_hash").alias("_hash")).agg(first, F.count("content_hash").alias("_n")).where("_n > 0")
+    return rows.select("_row.*")
 
 
 def apply_enrichment(items: DataFrame, updates: DataFrame, now: datetime) -> DataFrame:
@@ -134,6 +140,21 @@ def survivors(items: DataFrame, now: datetime, rules: list[Tier] | None = None)
     return items.where(~gone)
 
 
+def started(runs: DataFrame, job_name: str, now: datetime) -> tuple[DataFrame, int]:
+    """(runs with a row of status running, its id)."""
+    id_ = (runs.agg(F.max("id")).first()[0] or 0) + 1  # one number
+    row = {"id": id_, "job_name": job_name, "started_at": now, "status": "running", **dict.fromkeys(COUNTS, 0)}
+    new = runs.sparkSession.createDataFrame([tuple(row.get(c) for c in runs.columns)], runs.schema)
+    return runs.unionByName(new), id_
+
+
+def finished(runs: DataFrame, id_: int, update: dict, now: datetime) -> DataFrame:
+    """Runs with the end of one run: finished_at, and what ``update`` has (status, counts, detail as JSON); the rest stays."""
+    hit = F.col("id") == id_
+    new = {c: v for c, v in update.items() if v is not None} | {"finished_at": now}
+    return runs.select(*[F.when(hit, F.lit(new[c]).cast(runs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in runs.columns])
+
+
 class CapExceeded(RuntimeError):
     """A change would touch more rows than its safety cap allows."""
 

@@ -5,7 +5,6 @@ The cheap steps come first, so that a model (an injected function) sees only new
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
@@ -17,31 +16,29 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import enrich, rules, text, url
 from ..functions.html import text_of
 from ..schema import NEWS_COLUMNS
-from ..scratch import written
-from .timestamps import interpretations
+from ..scratch import spread, written
+from . import timestamps
 
 SOURCE_CONTEXT = ["company", "product", "official_domain", "source_type"]
 
 
-READ = "official_source_url string, body string, published_at timestamp, image_url string"
+READ = "official_source_url string, body string, image_url string"
 
 
 def _read_texts(entries: DataFrame) -> DataFrame:
-    """Entries with the columns that need a parser, all made in one Arrow pass: canonical address, plain text, date, image."""
+    """Entries with the columns that need a parser, all made in one Arrow pass: canonical address, plain text, image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for address, content, date, image in zip(*(b.column(c).to_pylist() for c in ("url", "content", "published_at", "image_url"))):
+            for address, content, image in zip(*(b.column(c).to_pylist() for c in ("url", "content", "image_url"))):
                 canonical = url.canonicalize(address or "")
-                found = interpretations(date, None, None, None)
-                out.append((canonical, text_of(content or ""), found[0][1] if found else None, url.clean_image(image, canonical)))
-            keep = [c for c in b.schema.names if c not in ("url", "published_at", "image_url")]
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *columns], names=[*keep, "official_source_url", "body", "published_at", "image_url"])
-
-    kinds = [pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.string()]
-    kept = [f for f in entries.schema.fields if f.name not in ("url", "published_at", "image_url")]
+                out.append((canonical, text_of(content or ""), url.clean_image(image, canonical)))
+            keep = [c for c in b.schema.names if c not in ("url", "image_url")]
+            columns = [pa.array(c, pa.string()) for c in (zip(*out) if out else ([], [], []))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *columns], names=[*keep, "official_source_url", "body", "image_url"])
+
+    kept = [f for f in entries.schema.fields if f.name not in ("url", "image_url")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + READ
     return entries.mapInArrow(run, schema)
 
@@ -49,10 +46,11 @@ def _read_texts(entries: DataFrame) -> DataFrame:
 def normalise(entries: DataFrame, sources: DataFrame) -> DataFrame:
     """Entries (source_id, source_rank, entry_pos, title, url, content, published_at text, image_url) with their source's context and
     the columns of an item: clean title, canonical address, body, language, hash. Entries of unknown sources are left out; null
-    texts count as empty, but the stored content keeps what was fetched ('' for null). A date without a zone of its own is read as UTC."""
+    texts count as empty, but the stored content keeps what was fetched ('' for null). The text of the date is kept as published_text."""
     s = sources.select(F.col("id").alias("source_id"), *SOURCE_CONTEXT)
-    e = entries.join(s, "source_id").withColumn("title_original", text.normalize_title(F.coalesce("title", F.lit("")))).drop("title")
-    e = _read_texts(e).withColumn("content_original", F.coalesce("content", F.lit(""))).drop("content")
+    e = spread(entries).join(s, "source_id").withColumn("title_original", text.normalize_title(F.coalesce("title", F.lit("")))).drop("title")
+    e = _read_texts(e.withColumnRenamed("published_at", "published_text"))
+    e = e.withColumn("content_original", F.coalesce("content", F.lit(""))).drop("content")
     return e.withColumns({
         "source_name": text.source_name(F.col("company"), F.col("product")),
         "source_language": text.detect_language(F.concat("title_original", F.lit("\n"), "body")),
@@ -60,12 +58,28 @@ def normalise(entries: DataFrame, sources: DataFrame) -> DataFrame:
     })
 
 
+def dated(rows: DataFrame, now: datetime, zones: DataFrame | None = None) -> DataFrame:
+    """Normalised entries with published_at, an instant, in place of published_text.
+
+    zones: source_id, zone_name, day_first; a source without a row there writes UTC and the month before the day.  Distances in
+    time count from fetched_at, or from ``now`` where the entries have none.  Texts that denote no moment give null.
+    """
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_id", "source_rank", "entry_pos")))
+    fetched = F.coalesce(F.col("fetched_at") if "fetched_at" in rows.columns else F.lit(None), F.lit(now).cast("timestamp"))
+    texts = rows.select(key.alias("entry_id"), "source_id", F.col("published_text").alias("published_at"), fetched.alias("fetched_at"))
+    found = timestamps.normalise(texts, zones, day_first=False)
+    found = found.groupBy(F.col("entry_id").alias("_key")).agg(F.timestamp_micros(F.min("micros")).alias("published_at"))
+    return rows.join(found, key == F.col("_key"), "left").drop("_key", "published_text")
+
+
 def reasons(entries: DataFrame, stored: DataFrame) -> DataFrame:
     """Normalised entries with ``reason``: duplicate (stored, or seen earlier in this run), contentless, or new.
 
     An entry repeats an earlier one only if that one was stored, so bare versions don't make later ones duplicates.
     """
-    known = stored.select("content_hash").where(F.col("content_hash").isNotNull()).distinct().withColumn("known", F.lit(True))
+    # of the stored hashes only those that arrive again are kept, so that the store itself isn't shuffled
+    hashes = entries.select("content_hash").where(F.col("content_hash").isNotNull()).distinct()
+    known = stored.select("content_hash").join(hashes, "content_hash", "left_semi").distinct().withColumn("known", F.lit(True))
     e = entries.join(known, "content_hash", "left")
     bare = rules.is_contentless(F.col("title_original"), F.col("body"))
     e = e.withColumn("bare", bare)
@@ -115,7 +129,7 @@ def enriched(new: DataFrame, complete: Callable[[dict], str | None] | None = Non
     if complete is None:
         inside = inside.withColumn("answer", F.lit(None).cast("string"))
     else:
-        asked = ask(inside.where("in_budget"), complete)
+        asked = written(ask(inside.where("in_budget"), complete), "answers")  # each call is paid for, so the plan must not run twice
         inside = asked.unionByName(inside.where("not in_budget").withColumn("answer", F.lit(None).cast("string")))
     fb = enrich.fallback(F.col("title_original"), F.col("body"))
     inside = inside.withColumn("fb", fb).withColumn("en", enrich.normalized(enrich.extract_json(F.col("answer")), F.col("fb"))).drop("fb", "answer")
@@ -145,7 +159,7 @@ def backfilled(items: DataFrame, complete: Callable[[dict], str | None]) -> Data
     rows = items.select("id", "company", "product", "title_original", "content_original", "source_language", "verified")
     rows = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("body", StringType())]))
     fb = enrich.fallback(F.col("title_original"), F.col("body"))
-    done = ask(rows, complete).withColumn("fb", fb).withColumn("en", enrich.normalized(enrich.extract_json(F.col("answer")), F.col("fb")))
+    done = written(ask(rows, complete), "answers").withColumn("fb", fb).withColumn("en", enrich.normalized(enrich.extract_json(F.col("answer")), F.col("fb")))
     conf = F.col("en.confidence")
     return done.select("id", "en.title_ar", "en.title_en", "en.summary_ar", "en.summary_en", "en.category", "en.tags", F.col("en.impact").alias("impact_level"), enrich.status(F.col("verified"), conf, conf).alias("status"))
 
@@ -159,25 +173,41 @@ class Run:
     per_source: DataFrame
 
 
-def ingest(entries: DataFrame, sources: DataFrame, stored: DataFrame, now: datetime, complete: Callable[[dict], str | None] | None = None, cap: int = 0) -> Run:
-    """One run over read entries; rows of ``entries`` with an ``error`` mark sources that failed and hold no entry."""
+def ingest(
+    entries: DataFrame,
+    sources: DataFrame,
+    stored: DataFrame,
+    now: datetime,
+    complete: Callable[[dict], str | None] | None = None,
+    cap: int = 0,
+    zones: DataFrame | None = None,
+    ran: DataFrame | None = None,
+) -> Run:
+    """One run over read entries; rows of ``entries`` with an ``error`` mark sources that failed and hold no entry.
+
+    ran: source_id of the sources of the run, which are then counted even if they yielded nothing.  ``complete`` is called once
+    for each entry within the budget (a task that fails is run again, and asks again).
+    """
     has_error = "error" in entries.columns
     good = entries.where(F.col("error").isNull()).drop("error") if has_error else entries
     tagged = written(reasons(written(normalise(good, sources), "entries"), stored), "tagged")  # read again by the items and the numbers
-    done = enriched(tagged.where("reason = 'new'"), complete, cap)
+    done = enriched(dated(tagged.where("reason = 'new'"), now, zones), complete, cap)
     stamp = F.lit(now).cast("timestamp")
     columns = [stamp.alias(c) if c in ("detected_at", "created_at", "updated_at") else F.col(c) for c in NEWS_COLUMNS if c != "id"]
-    return Run(done.select("source_rank", "entry_pos", "in_budget", *columns), tagged, per_source(tagged, entries if has_error else None))
+    items = done.select("source_rank", "entry_pos", "in_budget", *columns)
+    return Run(items, tagged, per_source(tagged, entries if has_error else None, ran))
 
 
-def per_source(tagged: DataFrame, entries: DataFrame | None = None) -> DataFrame:
-    """source_id, found, inserted, skipped, error: one row for each source that yielded entries or failed."""
-    n = tagged.groupBy("source_id").agg(F.count("*").alias("found"), F.count_if(F.col("reason") == "new").alias("inserted"), F.count_if(F.col("reason") != "new").alias("skipped"))
-    if entries is None:
-        return n.withColumn("error", F.lit(None).cast("string"))
-    bad = entries.where(F.col("error").isNotNull()).groupBy("source_id").agg(F.min("error").alias("error"))
-    zero = F.lit(0).cast("bigint")
-    return n.join(bad, "source_id", "full").select("source_id", *[F.coalesce(c, zero).alias(c) for c in ("found", "inserted", "skipped")], "error")
+def per_source(tagged: DataFrame, entries: DataFrame | None = None, ran: DataFrame | None = None) -> DataFrame:
+    """source_id, found, inserted, skipped, error: one row for each source of the run (``ran``), that yielded entries, or that failed."""
+    is_new = F.col("reason") == "new"
+    n = tagged.groupBy("source_id").agg(F.count("*").alias("found"), F.count_if(is_new).alias("inserted"), F.count_if(~is_new).alias("skipped"))
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+    bad = n.select("source_id", none.alias("error")).limit(0) if entries is None else entries.where(F.col("error").isNotNull()).groupBy("source_id").agg(F.min("error").alias("error"))
+    out = n.join(bad, "source_id", "full")
+    if ran is not None:
+        out = out.join(ran.select("source_id").distinct(), "source_id", "full")
+    return out.select("source_id", *[F.coalesce(c, zero).alias(c) for c in ("found", "inserted", "skipped")], "error")
 
 
 def run_metrics(per: DataFrame, denied: str = "disallowed-by-robots") -> DataFrame:
@@ -188,11 +218,6 @@ def run_metrics(per: DataFrame, denied: str = "disallowed-by-robots") -> DataFra
     return m.withColumn("status", F.when(F.col("errors") == 0, "success").when((F.col("items_inserted") > 0) | (F.col("sources_checked") > F.col("errors")), "partial").otherwise("failed"))
 
 
-def job_row(metrics: dict, id_: int, started: datetime, finished: datetime, detail: dict | None = None, job_name: str = "ingestion") -> dict:
-    """The line of job_runs for a run."""
-    return {"id": id_, "job_name": job_name, "started_at": started, "finished_at": finished, "detail": json.dumps(detail) if detail is not None else None, **metrics}
-
-
 def arrivals(raw: DataFrame) -> DataFrame:
     """raw_entries as read entries: the fetch decides the order (the day's rank), then the entry's number."""
-    return raw.select("source_id", F.unix_micros("fetched_at").alias("source_rank"), F.col("entry_id").alias("entry_pos"), "title", "url", "content", "published_at", "image_url")
+    return raw.select("source_id", F.unix_micros("fetched_at").alias("source_rank"), F.col("entry_id").alias("entry_pos"), "title", "url", "content", "published_at", "image_url", "fetched_at")

@@ -402,18 +402,22 @@ def _solved(blocks: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return blocks.mapInArrow(run, schema)
 
 
-def normalise(entries: DataFrame, zones: DataFrame, block: int = BLOCK) -> DataFrame:
+def normalise(entries: DataFrame, zones: DataFrame | None, block: int = BLOCK, day_first: bool | None = None) -> DataFrame:
     """(entry_id, source_id, published_utc, form, n_readings, micros): one row for each entry with a readable published_at.
 
     entries: entry_id, source_id, fetched_at, published_at (text); zones: source_id, zone_name, day_first, one row per source (a
     small control table).  published_utc has milliseconds, cut and not rounded; micros is the instant itself.  A source that isn't
-    in zones is read as UTC, and the order of its records decides about day and month.  Ids may be null or repeat; entries of a
+    in zones is read as UTC; its order of day and month is ``day_first``, and where that is null too its records decide.  Ids may be null or repeat; entries of a
     null source form a source of their own; other columns aren't read.  An empty table gives an empty one.
     """
+    if zones is None:
+        zones = entries.sparkSession.createDataFrame([], f"source_id {dict(entries.dtypes)['source_id']}, zone_name string, day_first boolean")
     control = zones.groupBy("source_id").agg(F.min("zone_name").alias("zone_name"), F.min("day_first").alias("day_first"))
     rows = entries.where(F.col("published_at").isNotNull())
     rows = rows.select("entry_id", "source_id", "published_at", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
     rows = rows.join(control, "source_id", "left")
+    if day_first is not None:
+        rows = rows.withColumn("day_first", F.coalesce("day_first", F.lit(day_first)))
     order = ["source_id", "fetched_at", "entry_id", "published_at"]
     kinds = dict(rows.dtypes)
     blocks = written(_blocks(rows.repartitionByRange(*order).sortWithinPartitions(*order), kinds, block), "time-blocks")

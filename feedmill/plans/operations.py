@@ -56,9 +56,16 @@ def latest_by_job(runs: DataFrame) -> DataFrame:
     return top.select("job_name", F.col("r.id").alias("id"), F.col("r.status").alias("status"), F.col("r.items_found").alias("items_found"), F.col("r.errors").alias("errors"), "runs", "failed_runs")
 
 
-def health(runs: DataFrame, job_name: str = "ingest") -> DataFrame:
-    """healthy, status, last_success: healthy unless the job's latest run failed; last_success among the ten latest runs of any job."""
+def health(runs: DataFrame, job_name: str = "ingestion") -> DataFrame:
+    """healthy, status, last_success_at: healthy unless the job's latest run failed (or if it has none).
+
+    last_success_at is when the latest successful or partly successful of the ten latest runs of any job finished.
+    """
     last = latest_run(runs, job_name).agg(F.max("status").alias("status"))
-    good = recent_runs(runs, 10).where(F.col("status").isin("success", "partial")).agg(F.max("started_at").alias("last_success"))
-    both = last.withColumn("last_success", F.lit(None).cast("timestamp")).unionByName(good.withColumn("status", F.lit(None).cast("string")))
-    return both.agg(F.max("status").alias("status"), F.max("last_success").alias("last_success")).select(F.coalesce(F.col("status") != "failed", F.lit(True)).alias("healthy"), "status", "last_success")
+    good = recent_runs(runs, 10).where(F.col("status").isin("success", "partial"))
+    # the end may be null, so it is wrapped: max_by must take the latest run, finished or not
+    good = good.agg(F.max_by(F.struct("finished_at"), F.struct("started_at", "id")).alias("r"))
+    both = last.select("status", F.lit(None).cast("timestamp").alias("at"))
+    both = both.unionByName(good.select(F.lit(None).cast("string").alias("status"), F.col("r.finished_at").alias("at")))
+    both = both.agg(F.max("status").alias("status"), F.max("at").alias("last_success_at"))
+    return both.select(F.coalesce(F.col("status") != "failed", F.lit(True)).alias("healthy"), "status", "last_success_at")

@@ -169,9 +169,9 @@ _add(
 )
 _add(
     "health",
-    _table("job_runs", lambda t: operations.health(t).withColumn("last_success", iso(F.col("last_success")))),
-    f"""WITH l AS (SELECT status FROM job_runs WHERE job_name = 'ingest' ORDER BY started_at DESC, id DESC LIMIT 1), r AS (SELECT * FROM job_runs ORDER BY started_at DESC, id DESC LIMIT 10)
-        SELECT coalesce((SELECT status FROM l) <> 'failed', true) AS healthy, (SELECT status FROM l) AS status, {ISO_SQL.format("(SELECT max(started_at) FROM r WHERE status IN ('success', 'partial'))")} AS last_success""",
+    _table("job_runs", lambda t: operations.health(t, "ingest").withColumn("last_success_at", iso(F.col("last_success_at")))),
+    f"""WITH l AS (SELECT status FROM job_runs WHERE job_name = 'ingest' ORDER BY started_at DESC, id DESC LIMIT 1), r AS (SELECT * FROM (SELECT * FROM job_runs ORDER BY started_at DESC, id DESC LIMIT 10) WHERE status IN ('success', 'partial') ORDER BY started_at DESC, id DESC LIMIT 1)
+        SELECT coalesce((SELECT status FROM l) <> 'failed', true) AS healthy, (SELECT status FROM l) AS status, {ISO_SQL.format("(SELECT finished_at FROM r)")} AS last_success_at""",
 )
 _add(
     "run_details",

@@ -109,3 +109,9 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     return back.select(*df.columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as the session has cores, where a small table would come in fewer; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

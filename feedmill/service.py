@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import schema
+from .config import Settings
 from .operators import changes, ingest
 from .operators.store import Store
 from .plans import feed, operations
+from .scratch import written
+from .sources import listings
+from .sources.fetch import DENIED, PageSource
+
+JOB = "ingestion"
 
 
 class Busy(RuntimeError):
@@ -66,8 +74,12 @@ class Service:
         row = feed.by_id(self.items, n).first()
         return row.asDict(True) if row else None
 
-    def health(self) -> DataFrame:
-        return operations.health(self.runs, "ingestion")
+    def health(self) -> dict:
+        """healthy, last_success_at, the latest run of the ingestion and the ten latest runs of any job."""
+        h = operations.health(self.runs, JOB).first()
+        latest = operations.latest_run(self.runs, JOB).first()
+        recent = [r.asDict() for r in operations.recent_runs(self.runs, 10).collect()]
+        return {"healthy": h.healthy, "last_success_at": h.last_success_at, "latest": latest.asDict() if latest else None, "recent": recent}
 
     # changes
     def put_source(self, source: dict, keep_active: bool = False) -> None:
@@ -95,50 +107,100 @@ class Service:
             self.store.write("sources", changes.set_active(self.sources, operations.matches_terms(terms) & ~F.col("active"), self.now()))
         return preview
 
-    def run(self, entries: DataFrame, complete: Callable[[dict], str | None] | None = None, cap: int = 0) -> dict:
-        """One ingestion run over read entries; its numbers. Busy while another runs."""
+    def migrate(self) -> list[str]:
+        """Brings the stored tables to their schemas; what was changed."""
+        tables = {"sources": schema.SOURCES, "items": schema.NEWS_ITEMS, "runs": schema.JOB_RUNS}
+        return [line for name, wanted in tables.items() for line in self.store.migrate(name, wanted)]
+
+    def seed(self, path: str) -> int:
+        """Loads the sources of a JSON file (an array of objects, or one object a line); known ones keep their switch. How many."""
+        fields = schema.SOURCES.replace("id int, ", "", 1)
+        rows = [r.asDict(True) for r in self.spark.read.schema(fields).option("multiLine", True).json(path).collect()]  # a control table
+        self.load_sources(rows)
+        return len(rows)
+
+    def ingest(
+        self,
+        complete: Callable[[dict], str | None] | None = None,
+        force: bool = False,
+        ids: list[int] | None = None,
+        settings: Settings | None = None,
+        zones: DataFrame | None = None,
+    ) -> dict:
+        """Fetches the sources that are due (all active ones with ``force``, of these the named ones), reads and stores their entries."""
+        s = settings or Settings()
+        due = operations.run_subset(self.sources, self.now(), force, ids)
+        chosen = [r.asDict(True) for r in due.select("id", "source_url", "source_type", "extra").collect()]  # a control table
+        self.spark.dataSource.register(PageSource)
+        options = {"timeout": s.timeout_seconds, "agent": s.user_agent, "limit": s.max_items_per_source, "robots": str(s.respect_robots).lower()}
+        pages = self.spark.read.format("feed_pages").options(sources=json.dumps(chosen), **options).load()
+        entries = listings.read_entries(written(pages, "pages"), s.max_items_per_source)  # fetched once
+        ran = self.spark.createDataFrame([(c["id"],) for c in chosen], "source_id int")
+        return self.run(entries, complete, s.model_budget, zones, ran)
+
+    def run(
+        self,
+        entries: DataFrame,
+        complete: Callable[[dict], str | None] | None = None,
+        cap: int = 0,
+        zones: DataFrame | None = None,
+        ran: DataFrame | None = None,
+    ) -> dict:
+        """One ingestion run over read entries; its numbers. Busy while another runs.
+
+        ``ran`` (source_id) names the sources of the run, so that those without entries are counted and marked as checked too.
+        """
         if not self.lock.acquire(blocking=False):
             raise Busy("a run is going on")
         try:
-            started, items = self.now(), self.items
-            run = ingest.ingest(entries, self.sources, items, started, complete, cap)
-            new = changes.next_ids(run.items, items, ["source_rank", "entry_pos"])
-            metrics = ingest.run_metrics(run.per_source).first().asDict()
-            self.store.append("items", new.select(*items.columns))
-            outcome = run.per_source.select("source_id", (F.col("error").isNull() | (F.col("error") == "disallowed-by-robots")).alias("success"))
-            self.store.write("sources", changes.mark_checked(self.sources, outcome, started))
-            per = [r.asDict() for r in run.per_source.orderBy("source_id").collect()]  # a row for each source
-            self._log(metrics, started, {"perSource": per}, "ingestion")
-            return metrics
+            with self._job(JOB) as job:
+                now, items = self.now(), self.items
+                run = ingest.ingest(entries, self.sources, items, now, complete, cap, zones, ran)
+                new = changes.next_ids(run.items, items, ["source_rank", "entry_pos"])
+                metrics = ingest.run_metrics(run.per_source).first().asDict()
+                self.store.append("items", new.select(*items.columns))
+                fine = F.col("error").isNull() | (F.col("error") == DENIED)
+                outcome = run.per_source.select("source_id", fine.alias("success"))
+                self.store.write("sources", changes.mark_checked(self.sources, outcome, now))
+                per = [r.asDict() for r in run.per_source.orderBy("source_id").collect()]  # a row for each source
+                job |= metrics | {"detail": json.dumps({"perSource": per})}
+                return metrics
         finally:
             self.lock.release()
 
-    def _log(self, metrics: dict, started: datetime, detail: dict, job: str) -> None:
-        top = self.runs.agg(F.max("id")).first()[0] or 0
-        row = ingest.job_row(metrics, top + 1, started, self.now(), detail, job)
-        names = [c.split()[0] for c in schema.JOB_RUNS.split(", ")]
-        self.store.append("runs", self.spark.createDataFrame([tuple(row.get(n) for n in names)], schema.JOB_RUNS))
+    @contextmanager
+    def _job(self, name: str) -> Iterator[dict]:
+        """A run's row: running while the block is, then with what the block put into the dictionary; failed if it raises."""
+        runs, id_ = changes.started(self.runs, name, self.now())
+        self.store.write("runs", runs)
+        update: dict = {"status": "failed"}
+        try:
+            yield update
+        finally:
+            self.store.write("runs", changes.finished(self.runs, id_, update, self.now()))
 
     def backfill(self, complete: Callable[[dict], str | None], limit: int = 10) -> int:
         """Enriches the latest verified items that wait for review; how many were updated."""
         chosen = changes.enrichable(self.items, limit)
-        updates = ingest.backfilled(chosen, complete)
+        updates = ingest.backfilled(chosen, complete)  # asked once: the answers are written
         n = updates.count()
         self.store.write("items", changes.apply_enrichment(self.items, updates, self.now()))
         return n
 
     def purge(self, dry_run: bool = True, cap: int = 5000, tiers: list[changes.Tier] | None = None) -> dict:
-        started = self.now()
-        after, counts = changes.purge(self.items, started, cap, dry_run, tiers)
-        if not dry_run:
+        if dry_run:
+            return changes.purge(self.items, self.now(), cap, True, tiers)[1]
+        with self._job("purge") as job:
+            after, counts = changes.purge(self.items, self.now(), cap, False, tiers)
             self.store.write("items", after)
-            self._log({"status": "success", "sources_checked": 0, "items_found": 0, "items_inserted": 0, "items_skipped": 0, "errors": 0}, started, {"deleted": counts}, "purge")
-        return counts
+            job |= {"status": "success", "detail": json.dumps({"deleted": counts})}
+            return counts
 
     def promote(self, dry_run: bool = True, cap: int = 5000) -> int:
-        started = self.now()
-        after, n = changes.promote(self.items, started, cap, dry_run)
-        if not dry_run:
+        if dry_run:
+            return changes.promote(self.items, self.now(), cap, True)[1]
+        with self._job("promote") as job:
+            after, n = changes.promote(self.items, self.now(), cap, False)
             self.store.write("items", after)
-            self._log({"status": "success", "sources_checked": 0, "items_found": n, "items_inserted": 0, "items_skipped": 0, "errors": 0}, started, {"promoted": n}, "promote")
-        return n
+            job |= {"status": "success", "items_found": n, "detail": json.dumps({"promoted": n})}
+            return n

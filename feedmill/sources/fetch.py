@@ -1,4 +1,4 @@
-"""A Python data source that fetches the page of each source: one partition per source, failures kept as rows.
+"""A Python data source that fetches the page of each source: one partition per origin, failures kept as rows.
 
 spark.dataSource.register(PageSource); spark.read.format("feed_pages").option("sources", json).load()
 """
@@ -51,8 +51,10 @@ class RobotsGate:
 
 
 class _Part(InputPartition):
-    def __init__(self, source: dict) -> None:
-        self.source = source
+    """The sources of one origin: they share its robots.txt, and it gets one request at a time."""
+
+    def __init__(self, sources: list[dict]) -> None:
+        self.sources = sources
 
 
 class _Reader(DataSourceReader):
@@ -62,7 +64,11 @@ class _Reader(DataSourceReader):
         self.gate = options.get("robots", "true").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(s | {"rank": i}) for i, s in enumerate(self.sources)]
+        by_origin: dict[str, list[dict]] = {}
+        for i, s in enumerate(self.sources):
+            u = urlsplit(self.address(s))
+            by_origin.setdefault(f"{u.scheme}://{u.netloc or i}", []).append(s | {"rank": i})
+        return [_Part(x) for x in by_origin.values()]
 
     def address(self, s: dict) -> str:
         g = (s.get("extra") or {}).get("github") if s["source_type"] == "github" else None
@@ -76,19 +82,20 @@ class _Reader(DataSourceReader):
             "file": f"{api}/contents/{g.get('path')}" + (f"?ref={branch}" if branch else ""),
         }[g.get("mode") or "releases"]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        s = partition.source
-        body = base = error = None
-        try:
-            url = self.address(s)
-            if self.gate and s["source_type"] != "github" and url.startswith("http") and not RobotsGate(timeout=self.timeout, agent=self.agent)(url):
-                raise PermissionError(DENIED)
-            status, body, base = http_get(url, self.timeout, self.agent)
-            if not 200 <= status < 300:
-                body, error = None, f"HTTP {status} fetching {url}"
-        except Exception as e:  # a source's failure is its own
-            error = str(e) or type(e).__name__
-        yield s["id"], s["rank"], s["source_type"], body, base or s["source_url"], json.dumps(s.get("extra")), error
+    def read(self, partition: _Part | None) -> Iterator[tuple]:
+        allowed = RobotsGate(timeout=self.timeout, agent=self.agent)
+        for s in partition.sources if partition else ():  # without sources there is one empty partition
+            body = base = error = None
+            try:
+                url = self.address(s)
+                if self.gate and s["source_type"] != "github" and url.startswith("http") and not allowed(url):
+                    raise PermissionError(DENIED)
+                status, body, base = http_get(url, self.timeout, self.agent)
+                if not 200 <= status < 300:
+                    body, error = None, f"HTTP {status} fetching {url}"
+            except Exception as e:  # a source's failure is its own
+                error = str(e) or type(e).__name__
+            yield s["id"], s["rank"], s["source_type"], body, base or s["source_url"], json.dumps(s.get("extra")), error
 
 
 class PageSource(DataSource):

@@ -84,7 +84,7 @@ def rss_image(item: dict) -> str | None:
 
 
 def _iso(text: str | None) -> str | None:
-    if not text:
+    if not text or re.match(r"\s*\d{1,2}[-/.]\d", text):  # the order of day and month is the source's, not ours to guess
         return None
     for read in (lambda t: datetime.fromisoformat(t.replace("Z", "+00:00")), parsedate_to_datetime):
         try:
