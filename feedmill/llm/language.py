@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .textops import WORD, visible_text
 
 BLOCK, TABLE, DIM, HIDDEN = 8, 4096, 16, 16
-PAYLOAD, MARGIN, GAP = 48, 8, 2  # blocks of a row that count, of context on either side, of silence between documents
+PAYLOAD, MARGIN, GAP = 112, 8, 2  # blocks of a row that count, of context on either side, of silence between documents
 #: What a switch of language within a line must gain, in nats of the pooled log-probabilities.
 SWITCH = 12.0
 
@@ -172,9 +172,9 @@ def _steps(net: Network, codes: np.ndarray, counts: np.ndarray, segments: np.nda
     width = PAYLOAD + 2 * MARGIN
     view = np.lib.stride_tricks.sliding_window_view(line, width, axis=0)[::PAYLOAD]  # (rows, BLOCK, width)
     out = np.empty((rows, PAYLOAD, net.p["c"].size), np.float32)
-    for k in range(0, rows, 512):
-        y = net.log_probabilities(np.ascontiguousarray(view[k : k + 512].transpose(2, 0, 1))).mean(axis=2)
-        out[k : k + 512] = y[MARGIN : MARGIN + PAYLOAD].transpose(1, 0, 2)
+    for k in range(0, rows, 256):
+        y = net.log_probabilities(np.ascontiguousarray(view[k : k + 256].transpose(2, 0, 1))).mean(axis=2)
+        out[k : k + 256] = y[MARGIN : MARGIN + PAYLOAD].transpose(1, 0, 2)
     return out.reshape(rows * PAYLOAD, -1)[at]
 
 
