@@ -225,7 +225,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     copies = written(sketch.select("copy", "id").join(classes, "copy").where("id <> rep").select("rep", "id").distinct(), "copies")
     reps = sketch.join(copies.select("id"), "id", "left_anti")
     keys = reps.select(F.explode("keys").alias("key"), "id", "b0", "b1")
-    raw = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _collisions(it, least, block), "id_a bigint, id_b bigint"), "candidates")
+    # a million keys for each task, however many there are
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sketch.count() * 7 * groups // 1_000_000))
+    raw = written(keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda it: _collisions(it, least, block), "id_a bigint, id_b bigint"), "candidates")
     hot = raw.where("id_b is null").select(F.col("id_a").alias("key")).distinct()
     found = raw.where("id_b is not null")
     if not raw.where("id_b is null").isEmpty():
