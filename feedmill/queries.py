@@ -7,11 +7,11 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import enrich, rules, text, url
+from .functions import enrich, html, rules, text, url
 from .operators import changes, ingest, timestamps
-from .operators.store import Store
 from .plans import feed, operations
-from .schema import NEWS_COLUMNS, NEWS_ITEMS, iso
+from .schema import iso
+from .scratch import spread
 from .sources import listings, robots
 
 NOW = datetime(2026, 5, 1, tzinfo=timezone.utc)
@@ -228,17 +228,22 @@ def _collapse_sql(c: str) -> str:
 _add("normal_titles", _table("raw_entries", lambda t: t.select("entry_id", text.normalize_title(F.col("title")).alias("title"))), f"SELECT entry_id, replace({_collapse_sql('title')}, chr(10), ' ') AS title FROM raw_entries")
 NATIVE_SQL = f"""CASE WHEN regexp_matches(content, '[<&]') THEN {_collapse_sql("replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(content, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?i)</(p|div|li|h[1-6]|tr)>|<br */?>', chr(10), 'g'), '</?[A-Za-z][^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')")} ELSE {_collapse_sql('content')} END"""
 _add("entry_texts", _table("raw_entries", lambda t: t.select("entry_id", text.html_to_text_native(F.col("content")).alias("body"))), f"SELECT entry_id, {NATIVE_SQL} AS body FROM raw_entries")
+def _hashes(t: DataFrame) -> DataFrame:
+    """The hashes that the pipeline gives."""
+    body = html.html_to_text(F.col("content"))
+    return spread(t).select("entry_id", "fetched_at", text.content_hash(url.canonical_url(F.col("url")), F.col("title"), body).alias("content_hash"))
+
+
 _add(
     "content_hashes",
-    _table("raw_entries", lambda t: t.select("entry_id", text.content_hash(url.canonical_url(F.col("url")), F.col("title"), text.html_to_text_native(F.col("content"))).alias("content_hash"))),
+    _table("raw_entries", lambda t: _hashes(t).select("entry_id", "content_hash")),
     f"SELECT r.entry_id, sha256(c.url || chr(10) || lower({_collapse_sql('r.title')}) || chr(10) || lower({NATIVE_SQL.replace('content', 'r.content')})) AS content_hash FROM raw_entries r JOIN {CANONICAL_SQL} c USING (entry_id)",
 )
 HASHED_SQL = SQL["content_hashes"]
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _read(spark, sf_dir, "raw_entries")
-    return t.select("entry_id", "fetched_at", text.content_hash(url.canonical_url(F.col("url")), F.col("title"), text.html_to_text_native(F.col("content"))).alias("content_hash"))
+    return _hashes(_read(spark, sf_dir, "raw_entries"))
 
 
 _add(
@@ -260,14 +265,14 @@ def _case_sql(name: str, table: list[tuple[str, str]], default: str) -> str:
 TEXT_SQL = "(title_original || chr(10) || content_original)"
 _add(
     "classified",
-    _table("news_items", lambda t: t.select("id", rules.category(F.concat("title_original", F.lit("\n"), "content_original")).alias("category"), rules.impact(F.concat("title_original", F.lit("\n"), "content_original")).alias("impact"))),
+    _table("news_items", lambda t: spread(t).select("id", rules.category(F.concat("title_original", F.lit("\n"), "content_original")).alias("category"), rules.impact(F.concat("title_original", F.lit("\n"), "content_original")).alias("impact"))),
     f"SELECT id, {_case_sql('x', rules.CATEGORY_RULES, 'product')} AS category, {_case_sql('x', rules.IMPACT_RULES, 'low')} AS impact FROM (SELECT id, {TEXT_SQL} AS x FROM news_items)",
 )
 _KNOWN = "[" + ", ".join(f"'{t}'" for t in rules.KNOWN_TAGS) + "]"
 _STOP = "[" + ", ".join(f"'{t}'" for t in rules.STOPWORDS) + "]"
 _add(
     "tags",
-    _table("news_items", lambda t: t.select("id", F.array_join(rules.tags(F.concat("title_original", F.lit("\n"), "content_original")), "|").alias("tags"))),
+    _table("news_items", lambda t: spread(t).select("id", F.array_join(rules.tags(F.concat("title_original", F.lit("\n"), "content_original")), "|").alias("tags"))),
     f"""WITH d AS (SELECT id, lower({TEXT_SQL}) AS x FROM news_items), w AS (SELECT id, unnest(regexp_extract_all(x, '[a-z][a-z0-9+.-]{{2,}}')) AS w, generate_subscripts(regexp_extract_all(x, '[a-z][a-z0-9+.-]{{2,}}'), 1) AS i FROM d),
         c AS (SELECT id, w, count(*) AS n, min(i) AS i FROM w WHERE NOT list_contains({_STOP}, w) GROUP BY id, w),
         k AS (SELECT id, t, generate_subscripts AS i FROM (SELECT id, x, unnest({_KNOWN}) AS t, generate_subscripts({_KNOWN}, 1) AS generate_subscripts FROM d) WHERE contains(x, t)),
@@ -331,32 +336,6 @@ _add(
 )
 
 
-# the whole pipeline
-def _run(spark: SparkSession, sf_dir: str) -> ingest.Run:
-    return ingest.ingest(ingest.arrivals(_read(spark, sf_dir, "raw_entries")), _read(spark, sf_dir, "sources"), _read(spark, sf_dir, "news_items"), NOW)
-
-
-_add("ingested", lambda s, d: _run(s, d).items.select("source_id", "title_original", "official_source_url", "source_language", "category", F.array_join("tags", "|").alias("tags"), "impact_level", "verified", "status", "content_hash"))
-_add("ingest_per_source", lambda s, d: _run(s, d).per_source)
-_add("run_metrics", lambda s, d: ingest.run_metrics(_run(s, d).per_source))
-
-
-
-def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The run as a stream: all raw entries landed in files, taken in by micro-batches."""
-    from .scratch import new_path
-    from .streaming import ingest as stream
-
-    landing, store = new_path(spark, "landing"), Store(spark, new_path(spark, "store"))
-    ingest.arrivals(_read(spark, sf_dir, "raw_entries")).write.parquet(landing)
-    store.write("items", _read(spark, sf_dir, "news_items").select(*NEWS_COLUMNS))
-    stream.start(spark, landing, _read(spark, sf_dir, "sources"), store, new_path(spark, "progress"), lambda: NOW).awaitTermination()
-    return store.read("items", NEWS_ITEMS).select("id", "title_original", "status", "content_hash")
-
-
-_add("stream_ingested", _streamed)
-
-
 # pages: each raw entry set as a listing of its own, and read again
 def _escaped(c: str):
     x = F.coalesce(c, F.lit(""))
@@ -395,8 +374,12 @@ _add("p5_forms", lambda s, d: timestamps.normalise(_read(s, d, "raw_entries"), _
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_sources  # noqa: F401  (adds its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_sources  # noqa: F401
+
     return dict(SQL)

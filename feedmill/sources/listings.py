@@ -121,7 +121,7 @@ def parse_feed(xml: str, limit: int) -> list[dict]:
         url, title = (item.get("link") or item.get("guid") or item.get("id") or "").strip(), (item.get("title") or "").strip()
         if not url or not title:
             continue
-        summary = item.get("content") or item.get("description") or item.get("summary")
+        summary = next((item[k] for k in ("content", "description", "summary") if item.get(k) is not None), None)
         raw = item.get("pubDate") or item.get("published") or item.get("updated") or item.get("date")
         content = next((x for x in (item.get("content:encoded"), summary) if x is not None), title)
         out.append({"title": title, "url": url, "content": content, "published_at": _iso(raw) or raw, "image_url": rss_image({**item, "content": summary})})
