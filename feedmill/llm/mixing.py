@@ -121,5 +121,7 @@ def mix(
     everything = Window.partitionBy(F.lit(0))  # over the control table
     shares = shares.select("source", "target_share", F.coalesce("tokens", zero).alias("tokens"), F.coalesce("all_tokens", zero).alias("available_tokens"), F.coalesce("documents", zero).alias("documents"), F.coalesce("n_blocks", F.lit(0)).alias("blocks"), F.coalesce("seats", zero).alias("seats"), "max_repeats")
     whole = F.sum("tokens").over(everything)
-    shares = shares.withColumn("actual_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(F.lit(0.0))).withColumn("capped", F.col("tokens") >= F.col("available_tokens") * F.coalesce("max_repeats", F.lit(0)))
+    shares = shares.withColumn("actual_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(F.lit(0.0))).withColumn(
+        "capped", (F.col("available_tokens") > 0) & (F.col("tokens") >= F.col("available_tokens") * F.coalesce("max_repeats", F.lit(0)))
+    )
     return mixture, shares.select("source", "target_share", "actual_share", "tokens", "available_tokens", "documents", "blocks", "seats", "max_repeats", "capped")

@@ -19,14 +19,29 @@ LETTER_ENTITIES = {
 }
 
 
+def _numbered(text: Column) -> Column:
+    """Numeric character references resolved, those of no character by a blank."""
+
+    def put(acc: Column, ref: Column) -> Column:
+        is_hex = F.lower(F.substring(ref, 3, 1)) == "x"
+        code = F.when(is_hex, F.conv(F.substring(ref, F.lit(4), F.length(ref) - 4), 16, 10)).otherwise(F.substring(ref, F.lit(3), F.length(ref) - 3)).cast("int")
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(32)), 8, "0")), "UTF-32")
+        return F.replace(acc, ref, letter)
+
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(0)))
+    return F.aggregate(refs, text, put)
+
+
 def _marks(text: Column) -> Column:
     """The text without tags, with entities resolved as far as letters need it."""
     plain = F.regexp_replace(text, r"<!--.*?(-->|$)|</?[A-Za-z][^<>]*(>|$)", " ")
     named = plain
     for name, letter in LETTER_ENTITIES.items():
         named = F.regexp_replace(named, f"(?i)&{name};", letter)
-    coded = F.regexp_replace(F.when(plain.rlike("&[A-Za-z]"), named).otherwise(plain), r"&#?\w+;", " ")
-    return coded
+    named = F.when(plain.rlike("&[A-Za-z]"), named).otherwise(plain)
+    named = F.when(plain.contains("&#"), _numbered(named)).otherwise(named)
+    return F.regexp_replace(named, r"&#?\w+;", " ")
 
 
 def letters_of(line: Column) -> Column:

@@ -169,6 +169,12 @@ def test_statistics_of_odd_rows(spark):
     assert quality.statistics(spark.createDataFrame([], "id int, body string"), "id", "body").count() == 0
 
 
+def test_letters_of_references(spark):
+    lines = ["caf&#233; one", "café ONE!", "caf&#xE9; &amp; <b>one</b>", "caf&eacute; 1 one", "&#99999999; &#55555; café one"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r.x for r in df.select(site_lines.letters_of(df.line).alias("x")).collect()} == {"café one"}
+
+
 def test_repeated_lines_against_brute_force(spark):
     rng = random.Random(2)
     rows = []
