@@ -133,8 +133,8 @@ def envelope(items: DataFrame, q: FeedQuery, now: datetime) -> dict:
     return {"data": data, "pagination": {"limit": limit, "offset": skip, "total": total, "has_more": more, "next_offset": skip + len(data) if more else None}}
 
 
-def shown(items: DataFrame, lang: str = "both", metadata: bool = False) -> DataFrame:
-    """The rows as they are handed out: the other language's texts null, tags never null, moments as ISO texts."""
+def shown(items: DataFrame, lang: str = "both", metadata: bool = False, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """The rows as they are handed out: the other language's texts null, tags never null, moments as ISO texts; and ``extra`` columns."""
     ar, en = lang in ("ar", "both"), lang in ("en", "both")
     keep = lambda want, c: F.when(F.lit(want), F.col(c)).alias(c)
     columns = [
@@ -144,7 +144,7 @@ def shown(items: DataFrame, lang: str = "both", metadata: bool = False) -> DataF
     ]
     if metadata:
         columns += ["content_hash", "source_id", iso(F.col("created_at")).alias("created_at"), iso(F.col("updated_at")).alias("updated_at")]
-    return items.select(*columns)
+    return items.select(*columns, *extra)
 
 
 def by_id(items: DataFrame, id_: int) -> DataFrame:
@@ -159,9 +159,9 @@ def latest_verified(items: DataFrame, now: datetime, company: str | None = None,
 def digest(items: DataFrame, since: datetime, lang: str = "both") -> DataFrame:
     """company, total, categories: array of (category, count, items). Companies by total, categories by count, the largest first;
     equal ones by name, a missing category last. Items are the latest first."""
-    rows = items.where((F.col("detected_at") >= F.lit(since)) & (F.col("status") == "published")).withColumn("t", F.unix_micros("detected_at"))
+    rows = items.where((F.col("detected_at") >= F.lit(since)) & (F.col("status") == "published"))
     body = F.struct(*[c for c in SHOWN if c not in ("company",)])
-    flat = shown(rows, lang).join(rows.select("id", "t", F.col("category").alias("c0")), "id").withColumn("item", F.struct((-F.col("t")).alias("o"), (-F.col("id")).alias("o2"), body.alias("v")))
+    flat = shown(rows, lang, extra=(F.unix_micros("detected_at").alias("t"), F.col("category").alias("c0"))).withColumn("item", F.struct((-F.col("t")).alias("o"), (-F.col("id")).alias("o2"), body.alias("v")))
     by = flat.groupBy("company", "c0").agg(F.count("*").alias("count"), F.transform(F.array_sort(F.collect_list("item")), lambda x: x["v"]).alias("items"))
     block = F.struct((-F.col("count")).alias("o"), F.col("c0").isNull().alias("o2"), F.coalesce("c0", F.lit("uncategorized")).alias("category"), F.col("count"), F.col("items"))
     out = by.groupBy("company").agg(F.sum("count").alias("total"), F.array_sort(F.collect_list(block), lambda a, b: _compare(a, b)).alias("b"))
