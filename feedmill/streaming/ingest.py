@@ -8,9 +8,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..config import Settings
 from ..operators import changes, ingest
 from ..operators.store import Store
 from ..schema import NEWS_ITEMS
+from ..service import Busy, Service
 
 LANDED = "source_id int, source_rank bigint, entry_pos bigint, title string, url string, content string, published_at string, image_url string"
 
@@ -35,3 +37,16 @@ def start(
     source = source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source
     out = source.parquet(landing).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def scheduled(service: Service, checkpoint: str, every: str = "1 hour", complete: Callable[[dict], str | None] | None = None, settings: Settings | None = None) -> StreamingQuery:
+    """A query that has the service fetch its due sources now and again after each ``every``; a tick while a run is going on is passed over."""
+
+    def tick(_: DataFrame, number: int) -> None:
+        try:
+            service.ingest(complete, settings=settings)
+        except Busy:
+            return
+
+    clock = service.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

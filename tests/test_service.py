@@ -1,6 +1,7 @@
 import json
 import logging
 import os
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -10,6 +11,7 @@ from feedmill.operators.changes import CapExceeded
 from feedmill.operators.store import Store
 from feedmill.service import Busy, Invalid, Service
 from feedmill.sources.model import ModelError, with_retries
+from feedmill.streaming import ingest as stream
 
 NOW = datetime(2026, 5, 28, 12, tzinfo=timezone.utc)
 ENTRY = "source_id int, source_rank bigint, entry_pos bigint, title string, url string, content string, published_at string, image_url string, error string"
@@ -109,6 +111,19 @@ def test_ingest_from_the_due_sources_on(spark, tmp_path):
     assert {r.published_at.replace(tzinfo=timezone.utc) for r in other.items.collect()} == {datetime(2026, 4, 3, 8, tzinfo=timezone.utc)}
 
 
+def test_ticks(spark, tmp_path):
+    s = Service(spark, Store(spark, f"file://{tmp_path}/store"), lambda: NOW)
+    s.migrate()
+    ticks = stream.scheduled(s, f"file://{tmp_path}/progress", "1 second")
+    try:
+        until = time.time() + 100
+        while time.time() < until and not [r for r in s.runs.collect() if r.status == "success"]:
+            time.sleep(0.5)
+    finally:
+        ticks.stop()
+    assert "success" in {r.status for r in s.runs.collect()}
+
+
 def test_a_run_that_breaks_off_is_noted_as_failed(spark, tmp_path):
     s = Service(spark, Store(spark, f"file://{tmp_path}/store"), lambda: NOW)
     with pytest.raises(Exception):
