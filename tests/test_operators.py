@@ -232,9 +232,9 @@ def test_first_seen_with_ties_and_nulls(spark):
 
 def test_runs(spark):
     at = lambda n: NOW - timedelta(hours=n)
-    rows = [{"id": 1, "job_name": "ingest", "started_at": at(3), "status": "success"}, {"id": 2, "job_name": "ingest", "started_at": at(1), "status": "failed"}, {"id": 3, "job_name": "purge", "started_at": at(2), "status": "success"}]
+    rows = [{"id": 1, "job_name": "ingest", "started_at": at(3), "status": "success"}, {"id": 2, "job_name": "ingest", "started_at": at(1), "status": "failed"}, {"id": 3, "job_name": "purge", "started_at": at(2), "finished_at": at(1.5), "status": "success"}]
     t = spark.createDataFrame([dict.fromkeys(c.split()[0] for c in schema.JOB_RUNS.split(", ")) | r for r in rows], schema.JOB_RUNS)
-    h = operations.health(t).first()
-    assert (h.healthy, h.status) == (False, "failed") and h.last_success_at.replace(tzinfo=timezone.utc) == at(2)
-    assert operations.health(t.limit(0)).first().healthy is True
+    h = operations.health(t, "ingest").first()
+    assert (h.healthy, h.status) == (False, "failed") and h.last_success_at.replace(tzinfo=timezone.utc) == at(1.5)
+    assert operations.health(t).first().healthy is True and operations.health(t.limit(0)).first().status is None
     assert ids(operations.recent_runs(t, 0)) == [2] and ids(operations.latest_run(t, "purge")) == [3]
