@@ -152,19 +152,20 @@ REQUESTS = [
     ({"category": "sdk", "date_field": "PUBLISHED", "status": "published", "offset": "-4"}, (None, "sdk", None, None, "published_at", "desc", True, 20, 0, "both")),
     ({"lang": "de", "limit": "0", "company": "  "}, (None, None, None, None, "detected_at", "desc", False, 1, 0, "both")),
 ]
-_REQUEST = "company string, category string, verified boolean, since string, date_field string, sort string, published_only boolean, page_limit int, skip int, lang string"
+_REQUEST = "company string, category string, verified string, since string, date_field string, sort string, published_only boolean, page_limit int, skip int, lang string"
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for i, (p, _) in enumerate(REQUESTS):
         f = feed.FeedQuery.from_parameters(p)
-        rows.append((i, f.company, f.category, f.verified, f.since, f.date_field, f.sort, f.published_only, feed.clamp_limit(f.limit), max(0, f.offset or 0), f.lang))
+        verified = None if f.verified is None else str(f.verified).lower()
+        rows.append((i, f.company, f.category, verified, f.since, f.date_field, f.sort, f.published_only, feed.clamp_limit(f.limit), max(0, f.offset or 0), f.lang))
     return spark.createDataFrame(rows, "n int, " + _REQUEST)
 
 
 def _literal(v) -> str:
-    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()  # truth values cast to texts alike
 
 
 _KINDS = {"string": "VARCHAR", "boolean": "BOOLEAN", "int": "INT"}

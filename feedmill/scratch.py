@@ -112,6 +112,9 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many tasks as the session has cores, where a small table would come in fewer; a large one stays as it is."""
+    """``df`` over as many tasks as the session has cores, where a small table would come in fewer; a large one stays as it is.
+
+    Meant for scans: to count the tasks of a plan with shuffles would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
